@@ -1,0 +1 @@
+"""A Spark-native engine for directed word graphs."""
