@@ -66,3 +66,30 @@ def slices(batches, rows: int = 512, chars_col: str = "text", chars: int = 16_00
                 part = part.slice(0, part.num_rows // 2)
             yield part
             start += part.num_rows
+
+
+BITMAP_BITS = 1 << 25
+
+
+def bitmap_slot(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(BITMAP_BITS))
+
+
+def bitmap(keys: DataFrame, column: str):
+    """A bitmap (4 MB, whatever the size of ``keys``) of the hashed values of a column, for
+    map-side choices that may let too much through but never too little."""
+    import numpy as np
+
+    slots = keys.select(bitmap_slot(column).alias("slot")).groupBy(F.expr("slot div 32").alias("word"))
+    marks = slots.agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 32 as int))")).alias("mask")).toPandas()
+    out = np.zeros(BITMAP_BITS // 32, np.uint32)
+    out[marks["word"].to_numpy(np.int64)] = marks["mask"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def marked(bits, slots):
+    """Which of the slots (an Arrow column) are set, as a numpy array."""
+    import numpy as np
+
+    at = slots.to_numpy()
+    return (bits[at // 32] >> (at % 32).astype(np.uint32) & 1).astype(bool)

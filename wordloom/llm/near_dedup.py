@@ -5,16 +5,17 @@
 2. ``rows`` x ``bands`` MinHash samples of each representative are folded into
    an Odd sketch (a parity bitmap of SKETCH_BITS); bands are hashed to buckets.
 3. Buckets of at most ``small`` representatives give all their pairs. A larger
-   bucket gives, in each of ``leader_rounds`` rounds, the pairs of one leader
-   (the member that sits in most large buckets) with its other members; what
-   links merges into components, and members of a leader's component are done.
-   After the rounds every pair of a large bucket whose components still differ
-   is compared; so no candidate is lost, and no bucket is expanded into all
-   pairs of one group. The sketches' XOR population count drops a pair before it
-   is emitted if so few samples agree that a similarity at the threshold is all
-   but impossible (below 1e-9).
-4. Pairs that remain are confirmed on the full sets.
-5. Components are found by alternating large-star and small-star steps.
+   bucket gives the pairs of a leader (the member that sits in most large
+   buckets) with its other members. A pair is dropped before it is emitted if
+   the sketches' XOR population count shows so few agreeing samples that a
+   similarity at the threshold is all but impossible (below 1e-9).
+4. Pairs that remain are confirmed on the full sets and merged into components
+   by alternating large-star and small-star steps.
+5. Large buckets whose members are not all of one component then are joined into
+   crowds. In each crowd the members outside its main component meet all members,
+   in blocks of bounded size; a block compares sketches, confirms on full sets in
+   order of likeness and emits just the links that join components. So no
+   candidate is lost, and what is emitted grows with members, not with pairs.
 
 Bands are chosen so that a pair at the threshold is missed with a probability of
 at most ``miss``.
@@ -31,10 +32,10 @@ from __future__ import annotations
 import math
 import zlib
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import bitmap, bitmap_slot, marked, materialise, slices
 from .pieces import _Cache
 
 SKETCH_BITS = 512
@@ -158,18 +159,21 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, bands:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """id, set array<long> of the documents in ``ids``."""
+    """id, set array<long> of the documents in ``ids`` and perhaps of some others: they are
+    chosen by a bitmap of bounded size, so that texts aren't shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(ids, "id"))
 
     def run(batches):
         import pyarrow as pa
 
-        shingle = Shingler(words)
+        bits, shingle = shared.value, Shingler(words)
         for part in slices(batches, 256, chars=4_000_000):
+            part = part.filter(pa.array(marked(bits, part.column("slot"))))
             sets = [shingle(t).view("int64") for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    return own.mapInArrow(run, "id long, set array<long>").dropDuplicates(["id"])
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return own.withColumn("slot", bitmap_slot("id")).mapInArrow(run, "id long, set array<long>")
 
 
 def odd_distance(a, b):
@@ -196,7 +200,52 @@ def components(edges: DataFrame) -> DataFrame:
         current = step
 
 
-def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", threshold: float = 0.8, words: int = 5, rows: int = 5, miss: float = 1e-7, small: int = 24, leader_rounds: int = 2) -> DataFrame:
+def joining_links(table, percent: int, far: int):
+    """The links of one block that join components: ``table`` has rep, at (component), n, sketch,
+    buckets, set and outer (whether the member is to meet all others)."""
+    import numpy as np
+    import pyarrow as pa
+
+    rep, at, n = (table.column(c).to_numpy() for c in ("rep", "at", "n"))
+    outer = np.flatnonzero(table.column("outer").to_numpy(zero_copy_only=False))
+    sketch = np.array(table.column("sketch").to_pylist(), np.int64).view(np.uint64)
+    buckets = np.array(table.column("buckets").to_pylist(), np.int64)
+    lists = table.column("set").combine_chunks()
+    values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+    sets: dict[int, frozenset] = {}
+
+    def full(i: int) -> frozenset:
+        if i not in sets:
+            sets[i] = frozenset(values[offsets[i] : offsets[i + 1]].tolist())
+        return sets[i]
+
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    found_a, found_b, pairs = [], [], []
+    for i in outer:
+        away = np.bitwise_count(sketch ^ sketch[i]).sum(1)
+        fits = (at != at[i]) & (away <= far) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent)
+        for j in np.flatnonzero(fits):
+            if (buckets[j] == buckets[i]).any():
+                pairs.append((int(away[j]), int(i), int(j)))
+    for _, i, j in sorted(pairs):
+        x, y = find(int(at[i])), find(int(at[j]))
+        if x == y:
+            continue
+        same = len(full(i) & full(j))
+        if 100 * same >= percent * (len(full(i)) + len(full(j)) - same):
+            root[max(x, y)] = min(x, y)
+            found_a.append(max(rep[i], rep[j]))
+            found_b.append(min(rep[i], rep[j]))
+    return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+
+
+def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", threshold: float = 0.8, words: int = 5, rows: int = 5, miss: float = 1e-7, small: int = 24, block: int = 256) -> DataFrame:
     """id, n_shingles, component_id, kept: one row per document; ``threshold`` is met when
     100 * intersection >= 100 * threshold * union (to whole percent)."""
     percent = round(100 * threshold)
@@ -206,8 +255,8 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", threshold
 
     prints = materialise(fingerprints(docs, id_col, text_col, words, bands, rows), "prints")
     filled = prints.where("n_shingles > 0")
-    classes = filled.groupBy("fp1", "fp2").agg(F.min("id").alias("rep"), F.min_by("buckets", "id").alias("buckets"), F.min_by("sketch", "id").alias("sketch"), F.max("n_shingles").alias("n"))
-    reps = materialise(classes.where("rep is not null"), "reps")
+    classes = filled.where("id is not null").groupBy("fp1", "fp2").agg(F.min(F.struct("id", "n_shingles", "sketch", "buckets")).alias("x"))
+    reps = materialise(classes.select("fp1", "fp2", F.col("x.id").alias("rep"), F.col("x.n_shingles").alias("n"), "x.sketch", "x.buckets"), "reps")
 
     member = reps.select("rep", F.explode("buckets").alias("bucket"))
     sizes = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -216,58 +265,46 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", threshold
     many = member.where(F.col("size") > small).select("bucket", "rep")
     sketches = reps.select("rep", "sketch", "n")
 
-    def near(a: str, b: str):
-        """The sketches may belong to a similar pair, and so may the sizes."""
-        sizes_fit = F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent
-        return sizes_fit & (odd_distance(F.col(f"{a}.sketch"), F.col(f"{b}.sketch")) <= far)
-
-    def screened(pairs: DataFrame) -> DataFrame:
-        """Distinct (a, b) whose sketches are near."""
-        pairs = pairs.distinct().join(sketches.alias("x"), F.col("a") == F.col("x.rep")).join(sketches.alias("y"), F.col("b") == F.col("y.rep"))
-        return pairs.where(near("x", "y")).select("a", "b")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs whose full sets meet the threshold."""
-        pairs = materialise(pairs, "pairs")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        sets = materialise(full_sets(docs, ids, id_col, text_col, words), "sets")
-        two = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-        same = F.size(F.array_intersect("sa", "sb"))
-        return two.where(100 * same >= percent * (F.size("sa") + F.size("sb") - same)).select("a", "b")
-
-    ordered = few.alias("x").join(few.alias("y"), "bucket").where(F.col("x.rep") < F.col("y.rep"))
-    found = ordered.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    crowded = not many.isEmpty()
-    labels = None
-    if crowded:
-        degree = many.groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
-        open_ = materialise(many.join(degree, "rep").join(sketches, "rep"), "crowded")
-        links = None
-        for k in range(leader_rounds):
-            now = open_ if labels is None else open_.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-            now = now.withColumn("at", F.coalesce("component", "rep") if labels is not None else F.col("rep"))
-            # a bucket's leader is its most central member; later, the most central one outside the largest-degree component
-            rank = F.struct("degree", (-F.col("rep")).alias("o"), "rep", "at")
-            if k:
-                done = now.groupBy("bucket").agg(F.max(rank)["at"].alias("done"))
-                now = now.join(done, "bucket").where(F.col("at") != F.col("done"))
-            leader = now.groupBy("bucket").agg(F.max(rank).alias("l"))
-            star = now.join(leader, "bucket").where(F.col("at") != F.col("l.at"))
-            star = star.select(F.least("rep", "l.rep").alias("a"), F.greatest("rep", "l.rep").alias("b"))
-            new = confirmed(screened(star.unionByName(found) if k == 0 else star))
-            links = materialise(new if links is None else links.unionByName(new), "links")
-            labels = components(links)
-        found = links
-        now = materialise(open_.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("at", F.coalesce("component", "rep")).drop("component", "degree"), "open")
-        mixed = now.groupBy("bucket").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo != hi").select("bucket")
-        now = now.join(mixed, "bucket", "left_semi")
-        apart = (F.col("x.at") < F.col("y.at")) & near("x", "y")
-        rest = now.alias("x").join(now.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & apart)
-        rest = rest.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-        found = found.unionByName(confirmed(rest))
-        labels = components(found)
-    else:
-        labels = components(confirmed(screened(found)))
+    found = few.alias("x").join(few.alias("y"), "bucket").where(F.col("x.rep") < F.col("y.rep"))
+    found = found.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    crowded = many.select("rep").distinct()
+    central = many.join(many.groupBy("rep").agg(F.count(F.lit(1)).alias("degree")), "rep")
+    leader = central.groupBy("bucket").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("l"))
+    star = many.join(leader, "bucket").where("rep != l").select(F.least("rep", "l").alias("a"), F.greatest("rep", "l").alias("b"))
+    pairs = found.unionByName(star).distinct()
+    pairs = pairs.join(sketches.alias("x"), F.col("a") == F.col("x.rep")).join(sketches.alias("y"), F.col("b") == F.col("y.rep"))
+    sizes_fit = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+    pairs = materialise(pairs.where(sizes_fit & (odd_distance(F.col("x.sketch"), F.col("y.sketch")) <= far)).select("a", "b"), "pairs")
+
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowded).distinct()
+    sets = materialise(full_sets(docs, ids, id_col, text_col, words), "sets")
+    two = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    same = F.size(F.array_intersect("sa", "sb"))
+    links = materialise(two.where(100 * same >= percent * (F.size("sa") + F.size("sb") - same)).select("a", "b"), "links")
+    labels = components(links)
+
+    now = many.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("at"))
+    mixed = now.groupBy("bucket").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.min("rep").alias("first")).where("lo != hi").select("bucket", "first")
+    open_ = materialise(now.join(mixed, "bucket"), "open")
+    if not open_.isEmpty():
+        crowds = components(open_.select(F.col("rep").alias("a"), F.col("first").alias("b")))
+        own = open_.select("rep", "at").distinct().join(crowds.withColumnRenamed("id", "rep"), "rep", "left")
+        own = materialise(own.select("rep", "at", F.coalesce("component", "rep").alias("crowd")), "crowds")
+        parts = own.groupBy("crowd", "at").agg(F.count(F.lit(1)).alias("k"))
+        shape = parts.groupBy("crowd").agg(F.max_by("at", F.struct("k", "at")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("all"))
+        shape = shape.select("crowd", "main", F.ceil((F.col("all") - F.col("most")) / block).alias("outer_blocks"), F.ceil(F.col("all") / (4 * block)).alias("segments"))
+        own = own.join(shape, "crowd").withColumn("h", F.xxhash64(F.lit(3), "rep"))
+        is_outer = F.col("at") != F.col("main")
+        outer = own.where(is_outer).withColumn("o", F.pmod("h", F.col("outer_blocks"))).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("segments") - 1)))
+        # every member once for each block of outer members; an outer member isn't doubled in its own block
+        every = own.withColumn("s", F.pmod("h", F.col("segments"))).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("outer_blocks") - 1)))
+        every = every.where(~is_outer | (F.pmod("h", F.col("outer_blocks")) != F.col("o")))
+        keep = ("crowd", "o", F.col("s").cast("long").alias("s"), "rep", "at")
+        dealt = outer.select(*keep, F.lit(True).alias("outer")).unionByName(every.select(*keep, F.lit(False).alias("outer")))
+        thick = reps.select("rep", "n", "sketch", "buckets").join(sets.select(F.col("id").alias("rep"), "set"), "rep")
+        dealt = dealt.join(thick, "rep")
+        more = dealt.groupBy("crowd", "o", "s").applyInArrow(lambda table: joining_links(table, percent, far), "a long, b long")
+        labels = components(links.unionByName(more))
 
     of_rep = reps.select("fp1", "fp2", "rep").join(labels, F.col("rep") == F.col("id"), "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component_id"))
     own = filled.select("id", "n_shingles", "fp1", "fp2").join(of_rep, ["fp1", "fp2"], "left").select("id", "n_shingles", "component_id")
