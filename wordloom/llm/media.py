@@ -24,7 +24,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, utf8
+from .common import bitmap, bitmap_slot, marked, materialise, slices, utf8
 
 WIDTH = 64
 HEADER = 33  # signature and IHDR chunk
@@ -90,71 +90,98 @@ def open_fs(url: str):
     return fs.FileSystem.from_uri(url)
 
 
-def write_shards(docs: DataFrame, folder: str, text_col: str = "text", shard_bytes: int = 64 << 20, level: int = 6) -> DataFrame:
-    """Write every distinct payload once; the index: digest, shard, offset, length."""
-    import tarfile
+class Shards:
+    """Writes tar shards of about ``limit`` bytes under names of its own, and keeps their index rows."""
+
+    def __init__(self, folder: str, limit: int):
+        self.fs, self.root = open_fs(folder)
+        self.limit, self.out, self.rows = limit, None, []
+
+    def add(self, digest: str, media: bytes) -> None:
+        import tarfile
+
+        if self.out is None:
+            self.fs.create_dir(self.root, recursive=True)
+            self.name, self.at = f"shard-{uuid.uuid4().hex}.tar", 0
+            self.out = self.fs.open_output_stream(f"{self.root}/{self.name}")
+        info = tarfile.TarInfo(f"{digest}.png")
+        info.size = len(media)
+        head = info.tobuf(tarfile.GNU_FORMAT)
+        for x in (head, media, bytes(-len(media) % 512)):
+            self.out.write(x)
+        self.rows.append((digest, self.name, self.at + len(head), len(media), None))
+        self.at += len(head) + len(media) + (-len(media) % 512)
+        if self.at >= self.limit:
+            self.close()
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.write(bytes(1024))
+            self.out.close()
+            self.out = None
+
+    def taken(self, *more):
+        """The index rows since the last call, and rows with media that aren't stored yet."""
+        import pyarrow as pa
 
-    def encode(batches):
-        import hashlib
+        rows, self.rows = [*self.rows, *more], []
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 5, kinds, strict=True)], ["digest", "shard", "offset", "length", "media"])
 
-        import pyarrow as pa
 
-        seen: set[bytes] = set()  # one digest (32 bytes) for each row of the task at most
-        for part in slices(batches, 256, chars=4_000_000):
-            rows = []
-            for t in part.column("text").to_pylist():
-                payload = padded((t or "").encode("utf-8", "surrogatepass"))
-                digest = hashlib.sha256(payload)
-                if digest.digest() not in seen:
-                    seen.add(digest.digest())
-                    rows.append((digest.hexdigest(), encode_png(payload, level)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["digest", "media"])
-
-    def write(batches):
-        import pyarrow as pa
+def payload_digest(text_col: str):
+    """The sha256 of the padded payload, in the JVM."""
+    raw = utf8(text_col)
+    room = F.greatest(F.lit(1), F.ceil(F.octet_length(raw) / F.lit(WIDTH))) * WIDTH
+    return F.sha2(F.rpad(raw, room.cast("int"), F.unhex(F.lit("00"))), 256)
 
-        fs, root = open_fs(folder)
-        seen: set[bytes] = set()
-        out = name = None
-        rows: list = []
-        at = 0
-
-        def close():
-            nonlocal out, rows
-            if out is not None:
-                out.write(bytes(1024))
-                out.close()
-                out = None
-            done, rows = rows, []
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*done, strict=True)) or [()] * 4, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["digest", "shard", "offset", "length"])
 
+def write_shards(docs: DataFrame, folder: str, text_col: str = "text", shard_bytes: int = 64 << 20, level: int = 6) -> DataFrame:
+    """Write every distinct payload once; the index: digest, shard, offset, length.
+
+    A bitmap of bounded size marks digests that occur more than once. What isn't
+    marked is stored where it is read; only marked payloads are shuffled by
+    digest, once for each task that has them, and stored there."""
+    keyed = docs.select(F.col(text_col).alias("text"), payload_digest(text_col).alias("digest"))
+    again = keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(again, "digest"))
+    schema = "digest string, shard string, offset long, length long, media binary"
+
+    def first(batches):
+        bits, shards = shared.value, Shards(folder, shard_bytes)
+        seen: set[bytes] = set()  # marked digests (32 bytes) of this task
+        for part in slices(batches, 256, chars=4_000_000):
+            kept = []
+            rows = zip(part.column("text").to_pylist(), part.column("digest").to_pylist(), marked(bits, part.column("slot")), strict=True)
+            for text, digest, repeated in rows:
+                if repeated:
+                    if (key := bytes.fromhex(digest)) in seen:
+                        continue
+                    seen.add(key)
+                media = encode_png(padded((text or "").encode("utf-8", "surrogatepass")), level)
+                if repeated:
+                    kept.append((digest, None, None, None, media))
+                else:
+                    shards.add(digest, media)
+            yield shards.taken(*kept)
+        shards.close()
+
+    def second(batches):
+        shards = Shards(folder, shard_bytes)
+        seen: set[bytes] = set()
         for batch in batches:
             for digest, media in zip(batch.column("digest").to_pylist(), batch.column("media"), strict=True):
-                key = bytes.fromhex(digest)
-                if key in seen:
-                    continue
-                seen.add(key)
-                data = media.as_py()
-                if out is None:
-                    fs.create_dir(root, recursive=True)
-                    name, at = f"shard-{uuid.uuid4().hex}.tar", 0
-                    out = fs.open_output_stream(f"{root}/{name}")
-                info = tarfile.TarInfo(f"{digest}.png")
-                info.size = len(data)
-                head = info.tobuf(tarfile.GNU_FORMAT)
-                out.write(head)
-                out.write(data)
-                out.write(bytes(-len(data) % 512))
-                rows.append((digest, name, at + len(head), len(data)))
-                at += len(head) + len(data) + (-len(data) % 512)
-                if at >= shard_bytes:
-                    yield close()
-        yield close()
-
-    thin = docs.select(F.col(text_col).alias("text"))
-    media = thin.mapInArrow(encode, "digest string, media binary")
+                if (key := bytes.fromhex(digest)) not in seen:
+                    seen.add(key)
+                    shards.add(digest, media.as_py())
+            yield shards.taken()
+        shards.close()
+
+    stored = materialise(keyed.withColumn("slot", bitmap_slot("digest")).mapInArrow(first, schema), "stored-first")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    index = materialise(media.repartition(parts, "digest").mapInArrow(write, "digest string, shard string, offset long, length long"), "index")
+    rest = stored.where("media is not null").repartition(parts, "digest").mapInArrow(second, schema)
+    columns = ("digest", "shard", "offset", "length")
+    index = materialise(stored.where("media is null").select(*columns).unionByName(rest.select(*columns)), "index")
     drop_strays(folder, index)
     return index
 
@@ -229,8 +256,5 @@ def media_columns(docs: DataFrame, folder: str, id_col="doc_id", text_col="text"
     """id, n_bytes, digest, shard, offset, length and the columns of ``stored_columns``, one row per document."""
     index = write_shards(docs, folder, text_col, shard_bytes)
     stored = materialise(stored_columns(index, folder).join(index, "digest"), "stored")
-    raw = utf8(text_col)
-    n = F.octet_length(raw)
-    room = F.greatest(F.lit(1), F.ceil(n / F.lit(WIDTH))) * WIDTH
-    keyed = docs.select(F.col(id_col).cast("long").alias(id_col), n.cast("long").alias("n_bytes"), F.sha2(F.rpad(raw, room.cast("int"), F.unhex(F.lit("00"))), 256).alias("digest"))
+    keyed = docs.select(F.col(id_col).cast("long").alias(id_col), F.octet_length(utf8(text_col)).cast("long").alias("n_bytes"), payload_digest(text_col).alias("digest"))
     return keyed.join(stored, "digest")
