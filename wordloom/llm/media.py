@@ -225,18 +225,16 @@ def header_columns(spark: SparkSession, index: DataFrame, folder: str) -> DataFr
 
 def stored_columns(index: DataFrame, folder: str) -> DataFrame:
     """Per digest, from the stored bytes read back: header columns, sums of payload and stored form, feature."""
-    schema = "digest string, width int, height int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "digest string, width int, height int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, shard string, offset long, length long"
 
     def read(batches):
         import hashlib
 
         import pyarrow as pa
-        import pyarrow.types as pt
 
         fs, root = open_fs(folder)
         name = source = None
-        fields = pa.schema([("digest", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
-        assert pt.is_string(fields.field("digest").type)
+        fields = pa.schema([("digest", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
         for batch in batches:
             rows = []
             for digest, shard, offset, length in zip(*(batch.column(c).to_pylist() for c in ("digest", "shard", "offset", "length")), strict=True):
@@ -245,7 +243,7 @@ def stored_columns(index: DataFrame, folder: str) -> DataFrame:
                 width, height, _ = header(source.read_at(HEADER, offset))
                 media = source.read_at(length, offset)
                 payload = decode_png(media)
-                rows.append((digest, width, height, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), length, hashlib.sha256(media).hexdigest(), feature(payload)))
+                rows.append((digest, width, height, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), length, hashlib.sha256(media).hexdigest(), feature(payload), shard, offset, length))
             columns = list(zip(*rows, strict=True)) or [()] * len(fields)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
 
@@ -255,6 +253,6 @@ def stored_columns(index: DataFrame, folder: str) -> DataFrame:
 def media_columns(docs: DataFrame, folder: str, id_col="doc_id", text_col="text", shard_bytes: int = 64 << 20) -> DataFrame:
     """id, n_bytes, digest, shard, offset, length and the columns of ``stored_columns``, one row per document."""
     index = write_shards(docs, folder, text_col, shard_bytes)
-    stored = materialise(stored_columns(index, folder).join(index, "digest"), "stored")
+    stored = materialise(stored_columns(index, folder), "stored")
     keyed = docs.select(F.col(id_col).cast("long").alias(id_col), F.octet_length(utf8(text_col)).cast("long").alias("n_bytes"), payload_digest(text_col).alias("digest"))
     return keyed.join(stored, "digest")

@@ -73,34 +73,34 @@ def sample_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return texts.join(F.broadcast(chosen), "id").select("label", "text").mapInArrow(run, "label int, slots array<int>")
 
 
-def fit(rows, shares=None, l1: float = 5e-5, rounds: int = 120, rate: float = 0.25, least_docs: int = 4):
-    """Weights (2**BITS float32, the bias in the last cell + 1) from (label, slots) rows.
-    ``shares``: how many labelled documents there are of label 0 and 1; None: as sampled."""
+def fit(labels, flat, offsets, shares=None, l1: float = 5e-5, rounds: int = 120, rate: float = 0.25, least_docs: int = 4):
+    """Weights (2**BITS float32 and the bias as last cell). ``labels``: one bool a document;
+    ``flat``: the documents' slots one after another (-2 ends a sentence), document i from
+    ``offsets[i]`` on. ``shares``: how many labelled documents there are of label 0 and 1; None: as
+    sampled. About 60 bytes a word are used."""
     import numpy as np
 
     size = 1 << BITS
-    if not len(rows):
-        return np.append(np.zeros(size, np.float32), np.float32(-50.0))
-    y = np.array([bool(r[0]) for r in rows])
+    y, n = np.asarray(labels, bool), len(labels)
+    if not n or not y.any() or y.all():
+        return np.append(np.zeros(size, np.float32), np.float32(30.0 if n and y.all() else -50.0))
     took = np.bincount(y, minlength=2)
-    each = (np.array(shares, float) / np.maximum(took, 1))[y.astype(int)] if shares else np.ones(len(y))
+    each = (np.array(shares, float) / np.maximum(took, 1))[y.astype(int)] if shares else np.ones(n)
     each /= each.sum()
-    slots = [np.asarray(r[1], np.int64) for r in rows]
-    doc = np.repeat(np.arange(len(rows)), [len(s) for s in slots])
-    flat = np.concatenate(slots) if len(doc) else np.zeros(0, np.int64)
-    del slots
+    doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
     # sentences: a new one begins with a document and after each end mark
     new = np.ones(len(flat), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (flat[:-1] == -2)
-    sent = np.cumsum(new) - 1
+    sent = np.cumsum(new, dtype=np.int32) - 1
     sent_doc = doc[new]
     keep = flat >= 0
-    pairs = np.unique(doc[keep] * size + flat[keep])
-    known = np.bincount(pairs % size, minlength=size) >= least_docs
+    pairs = np.unique(doc[keep] * np.int64(size) + flat[keep])
+    known = np.bincount((pairs % size).astype(np.int32), minlength=size) >= least_docs
+    del pairs, doc, new
     keep[keep] = known[flat[keep]]
     flat, sent = flat[keep], sent[keep]
     names, flat = np.unique(flat, return_inverse=True)
-    n_sent, n = len(sent_doc), len(rows)
+    flat, n_sent = flat.astype(np.int32), len(sent_doc)
     x = np.zeros(len(names) + 1)
     base = min(max(float(each[y].sum()), 1e-3), 1 - 1e-3)
     x[-1] = np.log(base / max(1.0, n_sent / n)) - 1
@@ -122,10 +122,15 @@ def fit(rows, shares=None, l1: float = 5e-5, rounds: int = 120, rate: float = 0.
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", max_docs: int = 9000, max_bytes: int = 36_000_000):
-    rows = sample_features(docs, labels, id_col, text_col, label_col, max_docs, max_bytes).collect()
+def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", max_docs: int = 9000, max_bytes: int = 30_000_000):
+    import numpy as np
+
+    rows = sample_features(docs, labels, id_col, text_col, label_col, max_docs, max_bytes).toArrow().combine_chunks()
+    slots = rows.column("slots").combine_chunks()
+    flat, offsets = slots.values.to_numpy(), slots.offsets.to_numpy()
+    rated = np.array(rows.column("label").to_numpy(), bool)
     counts = labels.where(F.col(label_col).isNotNull()).agg(F.count_if(F.col(label_col) == 0), F.count_if(F.col(label_col) != 0)).first()
-    return fit(rows, tuple(counts))
+    return fit(rated, flat, offsets, tuple(counts))
 
 
 class Scorer:
