@@ -53,6 +53,18 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+BATCH_ROWS = 1000
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """``df``, for mapInArrow: Spark hands over batches of at most BATCH_ROWS rows, which bounds
+    the Arrow memory of the JVM and of the workers. It lowers the session's setting."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def slices(batches, rows: int = 512, chars_col: str = "text", chars: int = 16_000_000):
     """Cut Arrow batches into slices of at most ``rows`` rows and about ``chars``
     bytes of text, so that a worker's memory doesn't grow with the batch."""

@@ -24,7 +24,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, bitmap_slot, marked, materialise, slices, utf8
+from .common import batched, bitmap, bitmap_slot, marked, materialise, slices, utf8
 
 WIDTH = 64
 HEADER = 33  # signature and IHDR chunk
@@ -177,9 +177,9 @@ def write_shards(docs: DataFrame, folder: str, text_col: str = "text", shard_byt
             yield shards.taken()
         shards.close()
 
-    stored = materialise(keyed.withColumn("slot", bitmap_slot("digest")).mapInArrow(first, schema), "stored-first")
+    stored = materialise(batched(keyed.withColumn("slot", bitmap_slot("digest"))).mapInArrow(first, schema), "stored-first")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rest = stored.where("media is not null").repartition(parts, "digest").mapInArrow(second, schema)
+    rest = batched(stored.where("media is not null").repartition(parts, "digest")).mapInArrow(second, schema)
     columns = ("digest", "shard", "offset", "length")
     index = materialise(stored.where("media is null").select(*columns).unionByName(rest.select(*columns)), "index")
     drop_strays(folder, index)
@@ -201,7 +201,7 @@ def drop_strays(folder: str, index: DataFrame) -> None:
 
 def _by_shard(index: DataFrame, read, schema: str) -> DataFrame:
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return index.repartition(parts, "shard").sortWithinPartitions("shard", "offset").mapInArrow(read, schema)
+    return batched(index.repartition(parts, "shard").sortWithinPartitions("shard", "offset")).mapInArrow(read, schema)
 
 
 def header_columns(spark: SparkSession, index: DataFrame, folder: str) -> DataFrame:
