@@ -87,18 +87,35 @@ def bitmap_slot(*columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(BITMAP_BITS))
 
 
+def bitmap_words(keys: DataFrame, column: str) -> DataFrame:
+    """word, mask: the 32-bit words of the bitmap that have a bit set, at most BITMAP_BITS / 32 rows."""
+    slots = keys.select(bitmap_slot(column).alias("slot")).groupBy(F.expr("slot div 32").alias("word"))
+    return slots.agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 32 as int))")).alias("mask"))
+
+
 def bitmap(keys: DataFrame, column: str):
     """A bitmap (4 MB, whatever the size of ``keys``) of the hashed values of a column, for
     map-side choices that may let too much through but never too little."""
     import numpy as np
 
-    slots = keys.select(bitmap_slot(column).alias("slot")).groupBy(F.expr("slot div 32").alias("word"))
-    marks = slots.agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 32 as int))")).alias("mask")).toPandas()
+    marks = bitmap_words(keys, column).toPandas()
     out = np.zeros(BITMAP_BITS // 32, np.uint32)
     out[marks["word"].to_numpy(np.int64)] = marks["mask"].to_numpy(np.int64).astype(np.uint32)
     return out
 
 
+def split_marked(docs: DataFrame, id_col: str, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose id may be in ``keys``, rows whose id isn't), so that a join with ``keys`` needn't
+    shuffle the texts of the others. The bitmap's words are broadcast: at most BITMAP_BITS / 32 rows
+    of two longs, whatever the size of ``keys``. Both columns must be long once cast; null ids may be in either."""
+    slot = F.pmod(F.xxhash64(F.col(f"d.`{id_col}`").cast("long")), F.lit(BITMAP_BITS))
+    words = F.broadcast(bitmap_words(keys, column)).alias("m")
+    both = docs.alias("d").join(words, F.col("m.word") == F.floor(slot / 32), "left")
+    bit = F.coalesce(F.getbit("m.mask", F.pmod(slot, F.lit(32)).cast("int")), F.lit(0)) == 1
+    own = [F.col(f"d.`{c}`") for c in docs.columns]
+    return both.where(bit).select(*own), both.where(~bit).select(*own)
+
+
 def marked(bits, slots):
     """Which of the slots (an Arrow column) are set, as a numpy array."""
     import numpy as np

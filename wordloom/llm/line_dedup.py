@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import batched, materialise, split_marked
 
 
 def longest_run(values):
@@ -119,21 +119,29 @@ def deletions(docs: DataFrame, id_col="doc_id", text_col="text", min_words: int
                     lists.append(sorted(out))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], ["id", "doomed"])
 
-    return grouped.mapInArrow(of_docs, "id long, doomed array<int>")
+    return batched(grouped).mapInArrow(of_docs, "id long, doomed array<int>")
 
 
 def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_words: int = 15, rare_docs: int = 1000, counts: tuple[str, str] | None = None) -> DataFrame:
     """``docs`` with the deletions applied to the text; ``counts`` names two more
     columns for the number of lines before and of those deleted."""
     doomed = materialise(deletions(docs, id_col, text_col, min_words, rare_docs), "doomed")
-    joined = docs.alias("d").join(doomed.alias("x"), F.col(f"d.{id_col}").cast("long") == F.col("x.id"), "left")
-    text = F.col(f"d.{text_col}")
-    split = F.split(text, "\n")
+    touched, whole = split_marked(docs, id_col, doomed, "id")
+    joined = touched.alias("d").join(doomed.alias("x"), F.col(f"d.`{id_col}`").cast("long") == F.col("x.id"), "left")
+    listed = F.col("x.doomed")
     #: deleted lines are struck by index in one pass: map lookups stay constant-time for long documents
-    mask = F.map_from_arrays(F.col("x.doomed"), F.col("x.doomed"))
-    left = F.array_join(F.filter(split, lambda line, i: ~F.map_contains_key(mask, i)), "\n")
-    new = F.when(F.col("x.doomed").isNull(), text).otherwise(left)
-    columns = [new.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns]
-    if counts:
-        columns += [F.coalesce(F.size(split), F.lit(0)).cast("int").alias(counts[0]), F.coalesce(F.size("x.doomed"), F.lit(0)).cast("int").alias(counts[1])]
-    return joined.select(*columns)
+    mask = F.map_from_arrays(listed, listed)
+
+    def columns(new, gone):
+        text = F.col(f"d.`{text_col}`")
+        out = [new(text).alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns]
+        if counts:
+            out += [F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("int").alias(counts[0]), gone.cast("int").alias(counts[1])]
+        return out
+
+    def struck(text):
+        left = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.map_contains_key(mask, i)), "\n")
+        return F.when(listed.isNull(), text).otherwise(left)
+
+    changed = joined.select(*columns(struck, F.coalesce(F.size(listed), F.lit(0))))
+    return changed.unionByName(whole.alias("d").select(*columns(lambda text: text, F.lit(0))))
