@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm import line_dedup, mixing, near_dedup, packing, toxicity
-from wordloom.llm.common import fold, labels, materialise
+from wordloom.llm.common import fold, labels, materialise, split_marked
 from wordloom.llm.pieces import default_path
 
 
@@ -32,7 +32,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near duplicates the document with the smallest id stays."""
     groups = near_dedup.near_duplicates(docs, threshold=0.8)
     gone = materialise(groups.where(~F.col("kept")).select(F.col("doc_id").alias("gone__")), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("gone__"), "left_anti")
+    maybe, kept = split_marked(docs, "doc_id", gone, "gone__")  # texts that certainly stay aren't shuffled
+    return maybe.join(gone, F.col("doc_id") == F.col("gone__"), "left_anti").unionByName(kept)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

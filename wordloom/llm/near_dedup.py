@@ -35,7 +35,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, bitmap_slot, marked, materialise, slices
+from .common import batched, bitmap, bitmap_slot, marked, materialise, slices
 from .pieces import _Cache
 
 SKETCH_BITS = 512
@@ -155,7 +155,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, bands:
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(buckets, longs), pa.array(sketches, longs)], ["id", "n_shingles", "fp1", "fp2", "buckets", "sketch"])
 
     thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return thin.mapInArrow(run, "id long, n_shingles long, fp1 long, fp2 long, buckets array<long>, sketch array<long>")
+    return batched(thin).mapInArrow(run, "id long, n_shingles long, fp1 long, fp2 long, buckets array<long>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -173,7 +173,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
 
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return own.withColumn("slot", bitmap_slot("id")).mapInArrow(run, "id long, set array<long>")
+    return batched(own.withColumn("slot", bitmap_slot("id"))).mapInArrow(run, "id long, set array<long>")
 
 
 def odd_distance(a, b):

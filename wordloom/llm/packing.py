@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import batched, materialise, slices
 from .pieces import WordIds, made
 
 SALTS = 64
@@ -47,7 +47,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int, room: int, id
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return thin.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return batched(thin).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts, room: int):

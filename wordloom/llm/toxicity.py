@@ -25,7 +25,7 @@ import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, utf8
+from .common import batched, materialise, slices, utf8
 from .pieces import _Cache
 
 BITS = 18
@@ -70,7 +70,7 @@ def sample_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
             yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(rows, pa.list_(pa.int32()))], ["label", "slots"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(chosen), "id").select("label", "text").mapInArrow(run, "label int, slots array<int>")
+    return batched(texts.join(F.broadcast(chosen), "id").select("label", "text")).mapInArrow(run, "label int, slots array<int>")
 
 
 def fit(labels, flat, offsets, shares=None, l1: float = 5e-5, rounds: int = 120, rate: float = 0.25, least_docs: int = 4):
@@ -201,7 +201,7 @@ def score(docs: DataFrame, weights, id_col="doc_id", text_col="text", threshold:
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(scores), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(spans, kind)], ["id", "score", "predicted", "offending"])
 
     thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return thin.mapInArrow(run, f"id long, score double, predicted int, offending {span}").withColumnRenamed("id", id_col)
+    return batched(thin).mapInArrow(run, f"id long, score double, predicted int, offending {span}").withColumnRenamed("id", id_col)
 
 
 def filter_toxic(docs: DataFrame, weights, text_col="text", threshold: float = 0.5) -> DataFrame:
@@ -216,4 +216,4 @@ def filter_toxic(docs: DataFrame, weights, text_col="text", threshold: float = 0
             keep = pa.array([scorer.score(t) < threshold for t in part.column(text_col).to_pylist()], pa.bool_())
             yield part.filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return batched(docs).mapInArrow(run, docs.schema)
