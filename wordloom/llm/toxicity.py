@@ -77,7 +77,7 @@ def fit(labels, flat, offsets, shares=None, l1: float = 5e-5, rounds: int = 120,
     """Weights (2**BITS float32 and the bias as last cell). ``labels``: one bool a document;
     ``flat``: the documents' slots one after another (-2 ends a sentence), document i from
     ``offsets[i]`` on. ``shares``: how many labelled documents there are of label 0 and 1; None: as
-    sampled. About 60 bytes a word are used."""
+    sampled. About 15 bytes a word are used, and the rounds go over blocks of the words."""
     import numpy as np
 
     size = 1 << BITS
@@ -87,31 +87,41 @@ def fit(labels, flat, offsets, shares=None, l1: float = 5e-5, rounds: int = 120,
     took = np.bincount(y, minlength=2)
     each = (np.array(shares, float) / np.maximum(took, 1))[y.astype(int)] if shares else np.ones(n)
     each /= each.sum()
-    doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
     # sentences: a new one begins with a document and after each end mark
-    new = np.ones(len(flat), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (flat[:-1] == -2)
+    new = np.zeros(len(flat), bool)
+    new[1:] = flat[:-1] == -2
+    new[offsets[:-1][np.diff(offsets) > 0]] = True
     sent = np.cumsum(new, dtype=np.int32) - 1
-    sent_doc = doc[new]
+    sent_doc = (np.searchsorted(offsets, np.flatnonzero(new), "right") - 1).astype(np.int32)
+    del new
+    seen = np.zeros(size, np.int32)
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        seen[np.unique(flat[a:b][flat[a:b] >= 0])] += 1
+    names = np.flatnonzero(seen >= least_docs)
+    place = np.full(size, -1, np.int32)
+    place[names] = np.arange(len(names))
     keep = flat >= 0
-    pairs = np.unique(doc[keep] * np.int64(size) + flat[keep])
-    known = np.bincount((pairs % size).astype(np.int32), minlength=size) >= least_docs
-    del pairs, doc, new
-    keep[keep] = known[flat[keep]]
-    flat, sent = flat[keep], sent[keep]
-    names, flat = np.unique(flat, return_inverse=True)
-    flat, n_sent = flat.astype(np.int32), len(sent_doc)
+    keep[keep] = place[flat[keep]] >= 0
+    flat, sent, n_sent = place[flat[keep]], sent[keep], len(sent_doc)
+    del keep
+    parts = [slice(a, a + 500_000) for a in range(0, len(flat), 500_000)]
     x = np.zeros(len(names) + 1)
     base = min(max(float(each[y].sum()), 1e-3), 1 - 1e-3)
     x[-1] = np.log(base / max(1.0, n_sent / n)) - 1
     m, v = np.zeros_like(x), np.zeros_like(x)
     for k in range(1, rounds + 1):
-        z = np.clip(np.bincount(sent, x[flat], n_sent) + x[-1], -30, 30)
+        z = np.full(n_sent, x[-1])
+        for part in parts:
+            first, last = sent[part][0], sent[part][-1] + 1
+            z[first:last] += np.bincount(sent[part] - first, x[flat[part]])
+        z = np.clip(z, -30, 30)
         p = 1 / (1 + np.exp(-z))
         clean = np.bincount(sent_doc, -np.logaddexp(0, z), n)  # log of prod(1 - p)
         toxic = np.maximum(-np.expm1(clean), 1e-9)
         pull = (np.where(y, np.exp(clean) / toxic, -1.0) * each)[sent_doc] * p
-        grad = -np.append(np.bincount(flat, pull[sent], len(names)), pull.sum())
+        grad = np.append(np.zeros(len(names)), -pull.sum())
+        for part in parts:
+            grad[:-1] -= np.bincount(flat[part], pull[sent[part]], len(names))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         step = rate * min(1, 2 * (1 - k / (rounds + 1))) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
         x -= step * m / (1 - 0.9**k)
