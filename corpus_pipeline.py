@@ -37,16 +37,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it. Only texts that may be taken otherwise than the
-    most common number of times are joined, so that the others aren't shuffled. Rows with a null id go."""
-    rates = materialise(mixing.mix(docs).select(F.col("doc_id").alias("id__"), "copies"), "copies")
-    usual = rates.groupBy("copies").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "copies").first()
-    usual = usual["copies"] if usual else 0
-    maybe, plain = split_marked(docs, "doc_id", rates.where(F.col("copies") != usual), "id__")
-    counted = maybe.join(rates, F.col("doc_id") == F.col("id__")).select(*docs.columns, "copies")
-    counted = counted.unionByName(plain.where("doc_id is not null").withColumn("copies", F.lit(usual)))
-    out = counted.where("copies > 0").withColumn("copy__", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select(*docs.columns)
+    """Each document as often as the mix takes it."""
+    return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,25 +10,33 @@ words) is an exponential tilt r = exp(lambda of its source). The dual
 sum(size * exp(lambda)) - target * lambda is convex and separable; Newton
 iterations run on every source's row in parallel, on sums over all documents.
 
-Copies: the rates are rounded to 0..cap whole copies by error diffusion from the
-largest document to the smallest, in blocks of about ``block_rows`` documents
-of one source chosen by a hash of the id. What a block is off by is at most
-about half of its last documents, so each source comes near its target, runs
-agree, and a hot source is many blocks.
+Copies: every document of a source is taken floor(rate) times, and those before
+the source's cutoff, in order of a hash of the id, once more. The cutoff is found
+from sums of words over ranges of the hash: at most 4,096 ranges a source first,
+then, inside the one where the target is reached, ranges of about 128 to 256
+documents. In the last range single documents are chosen by error diffusion from
+the largest to the smallest, so that a source is off by about half of its last
+documents. What a document gets thus follows from its id, its size and a few rows
+a source (sources and at most a range of documents each): texts aren't shuffled
+where those rows are at most BROADCAST_ROWS (beyond it they are joined by shuffles), and a hot source
+is no hot spot. Runs agree.
 
 Cases: null texts have size 0 and are taken 0 times; null sources are one
-source, last in order; a source of size 0 has target 0; equal sizes are taken in
-order of id, and rows with equal ids and sizes may take different copies while
-their sum stays; an empty table gives no rows; other columns are ignored.
+source, last in order; a source of size 0 has target 0; rows with equal ids and
+sizes of a source are taken equally often (so a source that is nothing but such rows may be off by
+half of them); rows with a null id count as rows with equal ids; an empty table
+gives no rows; other columns are ignored (``mixed`` passes them through).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
 
+NEAR_ROWS = 256
+BROADCAST_ROWS = 500_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -56,30 +64,92 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), cap: float = 3.0) -> Dat
     newton = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.lit(0.0), lambda x, _: x - (s * F.exp(x) - t) / (s * F.exp(x)))
     rows = rows.withColumn("lambda", F.when((s > 0) & (t > 0), newton))
     rate = F.least(F.coalesce(F.exp("lambda"), F.lit(0.0)), F.lit(float(cap)))
-    return rows.select("source", "rows", "source_size", "target", "lambda", rate.alias("rate"))
+    return rows.select(place.alias("k"), "source", "rows", "source_size", "target", "lambda", rate.alias("rate"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5, 2, 1), cap: int = 3, block_rows: int = 512) -> DataFrame:
+def _small(rows: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it has at most BROADCAST_ROWS; else Spark shuffles to join it."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _top(bits: str) -> Column:
+    """The first ``bits`` (a column, may be 0) bits of the hash of the id."""
+    return F.expr(f"if({bits} > 0, shiftrightunsigned(h, cast(64 - {bits} as int)), 0L)")
+
+
+def _reached(cells: DataFrame, cell: str, floor: Column) -> DataFrame:
+    """Of each source the cell in which the words from ``floor`` on reach ``extra``: k, cell, before."""
+    order = Window.partitionBy("k").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("before", floor + F.coalesce(F.sum("words").over(order), F.lit(0)))
+    return cells.where((F.col("before") <= F.col("extra")) & (F.col("extra") < F.col("before") + F.col("words"))).select("k", cell, "before")
+
+
+def decisions(sized: DataFrame, weights=(5, 2, 1), cap: int = 3) -> tuple[DataFrame, DataFrame]:
+    """What decides on every document. ``sized``: id, source, size.
+
+    A row per source: k, source, source_size, target, rate, base, bits, cut (null: all are taken base + 1 times);
+    and k, id, size of those in the cutoff's range that are taken once more than base times."""
+    base = F.least(F.floor("rate"), F.lit(cap - 1))
+    sources = source_targets(sized, weights, cap).withColumn("base", base)
+    sources = sources.withColumn("extra", F.greatest(F.col("target") - F.col("base") * F.col("source_size"), F.lit(0.0)))
+    bits = F.greatest(F.ceil(F.log2(F.col("rows") / F.lit(NEAR_ROWS))), F.lit(0)).cast("int")
+    sources = materialise(sources.withColumn("bits", bits), "sources")
+
+    same = F.col("d.source").eqNullSafe(F.col("s.source"))
+    keyed = sized.alias("d").join(_small(sources).alias("s"), same).select("k", "id", "size", "bits", "extra", F.xxhash64("id").alias("h"))
+    keyed = keyed.withColumn("coarse", _top("least(bits, 12)")).withColumn("fine", _top("bits"))
+    coarse = keyed.groupBy("k", "coarse").agg(F.sum("size").alias("words"), F.first("extra").alias("extra"))
+    coarse = materialise(_reached(coarse, "coarse", F.lit(0)).withColumnRenamed("before", "floor"), "coarse")
+    inside = keyed.join(_small(coarse), ["k", "coarse"])
+    fine = inside.groupBy("k", "fine").agg(F.sum("size").alias("words"), F.first("extra").alias("extra"), F.first("floor").alias("floor"))
+    fine = materialise(_reached(fine, "fine", F.col("floor")), "fine")
+
+    near = keyed.join(_small(fine), ["k", "fine"]).where("size > 0").withColumn("want", F.col("extra") - F.col("before"))
+    near = near.groupBy("k", "id", "size").agg(F.count(F.lit(1)).alias("n"), F.first("want").alias("want"))
+    # a range has about NEAR_ROWS ids, whatever the source's size; equal rows are one entry
+    entry = F.struct(-F.col("size"), "id", "size", (F.col("n") * F.col("size")).alias("words"))
+    near = near.groupBy("k").agg(F.sort_array(F.collect_list(entry)).alias("row"), F.first("want").alias("want"), F.sum(F.col("n") * F.col("size")).alias("all"))
+
+    def diffuse(state, row):
+        want = F.col("want") / F.col("all") * row["words"] + state["off"]
+        take = want * 2 >= row["words"]
+        off = want - F.when(take, row["words"]).otherwise(F.lit(0))
+        return F.struct(off.alias("off"), F.concat(state["taken"], F.array(take)).alias("taken"))
+
+    start = F.struct(F.lit(0.0).alias("off"), F.array().cast("array<boolean>").alias("taken"))
+    near = near.withColumn("taken", F.aggregate("row", start, diffuse)["taken"])
+    near = near.select("k", F.explode(F.arrays_zip("row", "taken")).alias("x")).where("x.taken").select("k", "x.row.id", "x.row.size")
+    sources = sources.join(fine.select("k", F.col("fine").alias("cut")), "k", "left")
+    sources = sources.select("k", "source", "source_size", "target", "rate", "base", "bits", "cut")
+    return _small(materialise(sources, "cuts")), _small(materialise(near, "near"))
+
+
+def _copied(sized: DataFrame, sources: DataFrame, near: DataFrame) -> DataFrame:
+    """``sized`` (id, source, size and others) with source_size, target, rate, copies."""
+    out = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).drop(F.col("s.source"))
+    out = out.withColumn("h", F.xxhash64("id")).withColumn("fine", _top("bits"))
+    n = near.select(F.col("k").alias("k__"), F.col("id").alias("id__"), F.col("size").alias("size__"))
+    out = out.join(n, (F.col("k") == F.col("k__")) & (F.col("size") == F.col("size__")) & F.col("id").eqNullSafe(F.col("id__")), "left")
+    more = F.col("cut").isNull() | (F.col("fine") < F.col("cut")) | F.col("k__").isNotNull()
+    copies = F.when(F.col("size") > 0, F.col("base") + F.when(more, 1).otherwise(0)).otherwise(0)
+    return out.withColumn("copies", copies.cast("int")).drop("k", "h", "fine", "bits", "cut", "base", "k__", "id__", "size__")
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), *more)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5, 2, 1), cap: int = 3) -> DataFrame:
     """id, size, source_size, target, taken (= copies * size), copies, rate."""
-    sized = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"))
-    sized = materialise(sized, "sizes")
-    sources = materialise(source_targets(sized, weights, cap).withColumn("k", F.monotonically_increasing_id()), "sources")
-
-    def diffuse(pdf):
-        import numpy as np
-
-        pdf = pdf.sort_values(["size", "id"], ascending=[False, True], kind="stable")
-        rate, copies, off = float(pdf["rate"].iloc[0]), np.zeros(len(pdf), np.int32), 0.0
-        for i, size in enumerate(pdf["size"].to_numpy()):
-            if size > 0:
-                want = rate * size + off
-                copies[i] = min(cap, max(0, round(want / size)))
-                off = want - copies[i] * size
-        pdf["copies"] = copies
-        return pdf
-
-    joined = sized.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-    blocks = F.greatest(F.ceil(F.col("rows") / F.lit(block_rows)), F.lit(1))
-    joined = joined.select("id", "size", "source_size", "target", "rate", "k", F.pmod(F.xxhash64("id"), blocks).alias("block"))
-    out = joined.groupBy("k", "block").applyInPandas(diffuse, "id long, size long, source_size long, target double, rate double, k long, block long, copies int")
+    sized = materialise(_sized(docs, id_col, text_col, source_col), "sizes")
+    out = _copied(sized, *decisions(sized, weights, cap))
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5, 2, 1), cap: int = 3) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it."""
+    sized = materialise(_sized(docs, id_col, text_col, source_col), "sizes")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    out = _copied(_sized(docs, id_col, text_col, source_col, row), *decisions(sized, weights, cap)).where("copies > 0")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
