@@ -206,6 +206,20 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).collect() == []
 
 
+def test_mixed_rows(spark):
+    """Clashing columns, null ids, repeated rows and null texts: rows come as often as ``mix`` says."""
+    rows = [(i // 2 if i % 5 else None, f"{'w ' * (i % 11)}", "en", f"s{i % 3}", None, "x", 1, "y") for i in range(120)] + [(7, None, "en", None, 0, "x", 1, "y")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns and mixing.mixed(docs.limit(0)).collect() == []
+    want, got = Counter(), Counter()
+    for r in mixing.mix(docs).collect():
+        want[r["doc_id"], r["size"]] += r["copies"]
+    for r in out.collect():
+        got[r["doc_id"], len(r["text"].split())] += 1
+    assert got == +want and sum(got.values())
+
+
 def test_line_dedup(spark):
     rng = random.Random(2)
     passage, boiler = sentences(rng, 60), "short common line"
