@@ -235,6 +235,20 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(table(spark, [])).collect() == []
 
 
+def short_lines(tag: str, n: int) -> list[str]:
+    return [" ".join(f"{tag}{i}w{k}" for k in range(10)) for i in range(n)]
+
+
+def lines_left(spark, texts) -> list[str]:
+    return [r["text"] for r in line_dedup.dedup_lines(table(spark, texts)).orderBy("doc_id").collect()]
+
+
+def test_line_dedup_of_a_passage_in_many_documents(spark):
+    passage = "\n".join(short_lines("p", 6))
+    own = short_lines("own", 1001)
+    assert lines_left(spark, [f"{line}\n{passage}" for line in own]) == [f"{own[0]}\n{passage}", *own[1:]]
+
+
 def test_alignment_keeps_order():
     assert line_dedup.aligned([0, 1, 2, 3], [5, 6, 2, 7]) == [0, 1, 3]
     assert line_dedup.aligned([0, 1, 2], [4, 4, 4]) in ([0], [1], [2])

@@ -1,25 +1,23 @@
-"""Line dedup by pairwise alignment.
-
-Every line is hashed (64 bits). For each hash that occurs in two documents or
-more, the first document (smallest id) is known from one aggregation with
-map-side sums; a later document overlaps with the first documents of its lines.
-Each such pair is aligned as patience diff does: lines that are unique on both
-sides are anchors, the longest increasing run of anchors is kept, and runs of
-equal lines next to anchors join them. Aligned common blocks of at least
-``min_words`` words are deleted from the later document.
-
-A pair is taken up through its rare lines (in at most ``rare_docs`` documents)
-or through a line that is long enough to be deleted alone; so a passage that
-half of the corpus shares is deleted too, while short common lines go only
-inside a longer block. Work is linear: each line has one partner document, and
-no list of a line's documents is ever made. Groups are single documents.
-
-Cases: a null text stays null; empty lines are never matched; lines repeated
-inside one document have no earlier document and stay; documents with equal ids
-count as one document for matching and get the same deletions by line number;
-rows with a null id are never changed and never first; a document whose lines
-are all deleted becomes an empty text; an empty table gives no rows; other
-columns stay.
+"""Line dedup by shared blocks of lines.
+
+A passage is a run of consecutive lines of at least ``min_words`` words; lines
+without words don't count, neither as lines nor as breaks. A passage that stands
+in an earlier document (smaller id) too is deleted, wherever it stands there.
+
+For that, each document's minimal blocks are hashed (64 bits): from each line on
+the shortest block that has ``min_words`` words, and the shortest such block that
+ends with each line. Equal passages have equal minimal blocks, and these cover all
+lines of the passage; so a block is deleted just when the smallest id with its hash
+is smaller than the document's own. That id is known from one aggregation with
+map-side sums. Work is linear: a line begins at most one block and ends at most one,
+and no list of a block's documents is ever made. Groups are single documents.
+
+Cases: a null text stays null; a passage repeated inside one document alone stays;
+lines without words go when the lines with words on both sides go, or when all lines
+with words go; documents with equal ids count as one document for matching, and
+each gets the deletions of its own text; rows with a null id are never changed and
+never first; a document whose lines are all deleted becomes an empty text; an empty
+table gives no rows; other columns stay.
 """
 
 from __future__ import annotations
@@ -27,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, materialise, split_marked
+from .common import batched, materialise, slices, split_marked
 
 
 def longest_run(values):
@@ -53,7 +51,7 @@ def longest_run(values):
 def aligned(own, other):
     """Patience alignment of matched lines. ``own``, ``other``: line numbers in the
     later and in the first document, one pair for each match, sorted by ``own``.
-    Returns the positions in these lists that are aligned."""
+    Returns the positions in these lists that are aligned. Line dedup itself no longer needs it."""
     from collections import Counter
 
     seen = Counter(other)
@@ -71,63 +69,100 @@ def aligned(own, other):
     return sorted(kept)
 
 
-def doomed_lines(own, other, first, words, rare, min_words: int) -> list[int]:
-    """Line numbers of one later document to delete; the arguments are parallel lists, one entry a matched line."""
-    by_first: dict = {}
-    for k in sorted(range(len(own)), key=own.__getitem__):
-        by_first.setdefault(first[k], []).append(k)
-    out = []
-    for rows in by_first.values():
-        if not any(rare[k] or words[k] >= min_words for k in rows):
-            continue
-        keep = [rows[i] for i in aligned([own[k] for k in rows], [other[k] for k in rows])]
-        block: list[int] = []
-        for k in [*keep, None]:
-            if block and (k is None or own[k] != own[block[-1]] + 1 or other[k] != other[block[-1]] + 1):
-                if sum(words[b] for b in block) >= min_words:
-                    out += [own[b] for b in block]
-                block = []
-            if k is not None:
-                block.append(k)
-    return out
-
-
-def deletions(docs: DataFrame, id_col="doc_id", text_col="text", min_words: int = 15, rare_docs: int = 1000) -> DataFrame:
-    """id, doomed array<int>: the line numbers to delete, for documents that have some."""
-    lines = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    lines = lines.select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    words = F.size(F.filter(F.split(F.col("line"), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("int")
-    lines = lines.select("id", "pos", F.xxhash64(F.lit(7), F.trim("line")).alias("h"), words.alias("words")).where(F.col("words") > 0)
-    lines = materialise(lines, "lines")
-    firsts = lines.groupBy("h").agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
-    shared = firsts.where(F.col("first.id") < F.col("last")).select("h", F.col("first.id").alias("first"), F.col("first.pos").alias("other"), (F.col("n") <= rare_docs).alias("rare"))
-    later = lines.join(shared, "h").where(F.col("id") > F.col("first")).select("id", "pos", "other", "first", "words", "rare")
-
-    fields = ("pos", "other", "first", "words", "rare")
-    grouped = later.groupBy("id").agg(F.collect_set(F.struct(*fields)).alias("rows"))  # one document's lines
+def blocks(text: bytes, min_words: int):
+    """(hash of 8 bytes, first line, last line, next line with words, ends) of each minimal block.
+    ``next`` is the number of lines if there is none; ``ends``: 1 if no line with words is before, plus 2 if none is after."""
+    from hashlib import blake2b
+
+    lines = text.split(b"\n")
+    at, upto, marks = [], [0], []
+    for i, line in enumerate(lines):
+        if n := len(line.split()):  # of bytes: cut at ASCII white space
+            at.append(i)
+            upto.append(upto[-1] + n)
+            marks.append(blake2b(line.strip(b" "), digest_size=16).digest())
+    at.append(len(lines))
+    last, i = len(marks), 0
+
+    def block(i, j):
+        h = marks[i][:8] if j == i + 1 else blake2b(b"".join(marks[i:j]), digest_size=8).digest()
+        return h, at[i], at[j - 1], at[j], (i == 0) + 2 * (j == last)
+
+    for j in range(1, last + 1):
+        before = i
+        while upto[j] - upto[i] >= min_words:  # line i's first end is j
+            yield block(i, j)
+            i += 1
+        if i == before and i:  # line j ends no such block: the shortest one that ends with it
+            yield block(i - 1, j)
+
+
+def doomed_lines(found) -> list[int]:
+    """Line numbers of one document to delete. ``found``: (first, last, next, ends) of its blocks to delete."""
+    out, first, last, follow, ends = [], 0, -1, -1, 0
+    for a, b, c, e in sorted(found):
+        if a > follow:
+            out += range(first, last + 1)
+            first, last, follow, ends = a, b, c, e
+        elif b > last:
+            last, follow, ends = b, c, ends & 1 | e & 2
+        else:
+            ends |= e
+    return [*range(follow)] if ends == 3 else [*out, *range(first, last + 1)]
+
+
+def deletions(docs: DataFrame, id_col="doc_id", text_col="text", min_words: int = 15) -> DataFrame:
+    """id, body (hash of the text), doomed array<int>: the line numbers to delete, for documents that have some."""
+    docs = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    thin = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("body"), F.encode(text_col, "UTF-8").alias("text"))
+    fields = ("first", "last", "next", "ends")
+
+    def of_texts(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def table():
+            at = pa.array(np.array(spans, np.int32).reshape(-1, 4).T.copy().ravel())
+            n = len(ids)
+            columns = [pa.array(ids, pa.int64()), pa.array(bodies, pa.int64()), pa.array(np.frombuffer(b"".join(hashes), "<i8"))]
+            return pa.RecordBatch.from_arrays([*columns, *(at.slice(k * n, n) for k in range(4))], ["id", "body", "h", *fields])
+
+        ids, bodies, hashes, spans = [], [], [], []
+        for part in slices(batches, 256, chars=4_000_000):
+            for id_, body, text in zip(*(part.column(c).to_pylist() for c in ("id", "body", "text")), strict=True):
+                for h, *span in blocks(text, min_words):
+                    ids.append(id_)
+                    bodies.append(body)
+                    hashes.append(h)
+                    spans.append(span)
+                    if len(ids) >= 50_000:
+                        yield table()
+                        ids, bodies, hashes, spans = [], [], [], []
+        yield table()
+
+    found = batched(thin).mapInArrow(of_texts, "id long, body long, h long, first int, last int, next int, ends int")
+    found = materialise(found, "blocks")
+    firsts = found.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h", "least")
+    later = found.join(firsts, "h").where(F.col("id") > F.col("least"))
+    grouped = later.groupBy("id", "body").agg(F.collect_set(F.struct(*fields)).alias("rows"))  # one document's blocks
 
     def of_docs(batches):
         import pyarrow as pa
 
         for batch in batches:
-            ids, lists = [], []
-            for id_, rows in zip(batch.column("id").to_pylist(), batch.column("rows").to_pylist(), strict=True):
-                own = {r["pos"]: r for r in rows}.values()  # rows with equal ids have equal line numbers
-                out = doomed_lines(*([r[f] for r in own] for f in fields), min_words)
-                if out:
-                    ids.append(id_)
-                    lists.append(sorted(out))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], ["id", "doomed"])
+            lists = [doomed_lines([tuple(r[f] for f in fields) for r in rows]) for rows in batch.column("rows").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("body"), pa.array(lists, pa.list_(pa.int32()))], ["id", "body", "doomed"])
 
-    return batched(grouped).mapInArrow(of_docs, "id long, doomed array<int>")
+    return batched(grouped).mapInArrow(of_docs, "id long, body long, doomed array<int>")
 
 
-def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_words: int = 15, rare_docs: int = 1000, counts: tuple[str, str] | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_words: int = 15, counts: tuple[str, str] | None = None) -> DataFrame:
     """``docs`` with the deletions applied to the text; ``counts`` names two more
     columns for the number of lines before and of those deleted."""
-    doomed = materialise(deletions(docs, id_col, text_col, min_words, rare_docs), "doomed")
+    doomed = materialise(deletions(docs, id_col, text_col, min_words), "doomed")
     touched, whole = split_marked(docs, id_col, doomed, "id")
-    joined = touched.alias("d").join(doomed.alias("x"), F.col(f"d.`{id_col}`").cast("long") == F.col("x.id"), "left")
+    same = (F.col(f"d.`{id_col}`").cast("long") == F.col("x.id")) & (F.xxhash64(F.col(f"d.`{text_col}`")) == F.col("x.body"))
+    joined = touched.alias("d").join(doomed.alias("x"), same, "left")
     listed = F.col("x.doomed")
     #: deleted lines are struck by index in one pass: map lookups stay constant-time for long documents
     mask = F.map_from_arrays(listed, listed)
