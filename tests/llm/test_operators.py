@@ -249,6 +249,14 @@ def test_line_dedup_of_a_passage_in_many_documents(spark):
     assert lines_left(spark, [f"{line}\n{passage}" for line in own]) == [f"{own[0]}\n{passage}", *own[1:]]
 
 
+def test_line_dedup_of_repeated_lines(spark):
+    a, b, c = short_lines("p", 3)
+    text = "\n".join([a, b, a, a, c, b])
+    assert lines_left(spark, [text, text]) == [text, ""]
+    long = f"{a} {b}"  # deleted at each of its places, and not in the first document
+    assert lines_left(spark, [f"{long}\n{c}\n{long}", f"{long}\n{long}\nend"]) == [f"{long}\n{c}\n{long}", "end"]
+
+
 def test_alignment_keeps_order():
     assert line_dedup.aligned([0, 1, 2, 3], [5, 6, 2, 7]) == [0, 1, 3]
     assert line_dedup.aligned([0, 1, 2], [4, 4, 4]) in ([0], [1], [2])
