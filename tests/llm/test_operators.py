@@ -257,6 +257,12 @@ def test_line_dedup_of_repeated_lines(spark):
     assert lines_left(spark, [f"{long}\n{c}\n{long}", f"{long}\n{long}\nend"]) == [f"{long}\n{c}\n{long}", "end"]
 
 
+def test_line_dedup_of_lines_with_other_first_documents(spark):
+    p = short_lines("p", 6)
+    passage = "\n".join(p)
+    assert lines_left(spark, [p[1], p[3], p[5], passage, passage]) == [p[1], p[3], p[5], passage, ""]
+
+
 def test_alignment_keeps_order():
     assert line_dedup.aligned([0, 1, 2, 3], [5, 6, 2, 7]) == [0, 1, 3]
     assert line_dedup.aligned([0, 1, 2], [4, 4, 4]) in ([0], [1], [2])
