@@ -263,6 +263,15 @@ def test_line_dedup_of_lines_with_other_first_documents(spark):
     assert lines_left(spark, [p[1], p[3], p[5], passage, passage]) == [p[1], p[3], p[5], passage, ""]
 
 
+def test_line_dedup_over_blank_lines(spark):
+    p = short_lines("p", 6)
+    spaced, end = "\n\n".join(p), "an own end"
+    got = lines_left(spark, [spaced, f"\n{spaced}\n \n", f"top\n\n{spaced}\n\n{end}", "\n".join(p)])
+    assert got == [spaced, "", f"top\n\n\n{end}", ""]
+    whole = "\n\n".join(f"{x} {x}" for x in p)  # each line a block of its own
+    assert lines_left(spark, [whole, whole]) == [whole, ""]
+
+
 def test_alignment_keeps_order():
     assert line_dedup.aligned([0, 1, 2, 3], [5, 6, 2, 7]) == [0, 1, 3]
     assert line_dedup.aligned([0, 1, 2], [4, 4, 4]) in ([0], [1], [2])
