@@ -5,7 +5,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from wordloom.plans.queries import ORACLE, QUERIES
+from wordloom.plans import bindings
+from wordloom.plans.queries import ORACLE, QUERIES, doc_responses
+from wordloom.sources import responses
 
 SF = "/root/testdata/sf0.001"
 SOME = ("edge_orientation", "edge_dedup", "bfs_depth", "prune_round_2", "scc_labels", "topo_level", "tr_full", "refine_pipeline", "node_url", "url_change_log", "tr_two_hop_parts")
@@ -29,3 +31,15 @@ def test_against_sql(spark, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) - set(ORACLE) == {"json_roundtrip"}
+
+
+def test_json_roundtrip_of_all_documents(spark):
+    columns = ["e_id", "n_id", "is_p"]
+    want, got = bindings.doc_tuples(spark, SF), QUERIES["json_roundtrip"](spark, SF)
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    bodies = doc_responses(spark, SF)
+    vertices = bindings.doc_vertices(spark, SF)
+    assert bodies.count() == vertices.count()
+    columns = ["v_id", "word", "lang"]
+    back = responses.decode_vertices(bodies).select(columns).distinct()
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, vertices.select(columns).collect()))

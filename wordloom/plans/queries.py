@@ -91,9 +91,15 @@ def neighborhood(spark: SparkSession, sf: str) -> DataFrame:
     return near.select("v_id", "hop")
 
 
+def doc_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """A response for each document: the edge tuples made of it, their ends and itself."""
+    v, e = b.doc_vertices(spark, sf), b.doc_tuples(spark, sf).withColumn("of", F.expr("pos div 8"))
+    ends = v.select(F.col("v_id").alias("of"), "v_id").union(e.select("of", "e_id")).union(e.select("of", "n_id")).distinct()
+    return responses.encode_response(v.join(ends, "v_id"), e, "of")
+
+
 def json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    v, e = b.doc_vertices(spark, sf).where("v_id < 60"), b.doc_tuples(spark, sf).where("e_id < 60 and n_id < 60")
-    return responses.decode_edges(responses.encode_response(v, e))
+    return responses.decode_edges(doc_responses(spark, sf))
 
 
 def conversations_requests(spark: SparkSession, sf: str) -> DataFrame:

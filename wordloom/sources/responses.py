@@ -27,11 +27,14 @@ def encode_request(word: Column, lang: Column, n: Column) -> Column:
     return F.to_json(F.struct(word.alias("word"), lang.alias("lang"), n.alias("n")))
 
 
-def encode_response(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row with a JSON body; for graphs of the size of one response only."""
-    v = vertices.groupBy().agg(F.sort_array(F.collect_list(F.struct("pos", F.array(F.col("v_id").cast("string"), "word", "lang").alias("x")))).alias("v"))
-    e = edges.groupBy().agg(F.sort_array(F.collect_list(F.struct("pos", F.array(F.col("e_id").cast("string"), F.col("n_id").cast("string"), F.col("is_p").cast("string")).alias("x")))).alias("e"))
-    return v.crossJoin(e).select(F.to_json(F.struct(F.col("v.x").alias("vertices"), F.col("e.x").alias("edges"))).alias("body"))
+def encode_response(vertices: DataFrame, edges: DataFrame, key: str | None = None) -> DataFrame:
+    """One row with a JSON body; for graphs of the size of one response only. With ``key``, a
+    column of both, a row for each of its values, with ``key`` and the body of its vertices and edges."""
+    by = [key] if key else []
+    v = vertices.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("pos", F.array(F.col("v_id").cast("string"), "word", "lang").alias("x")))).alias("v"))
+    e = edges.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("pos", F.array(F.col("e_id").cast("string"), F.col("n_id").cast("string"), F.col("is_p").cast("string")).alias("x")))).alias("e"))
+    both = v.join(e, key, "full") if key else v.crossJoin(e)
+    return both.select(*by, F.to_json(F.struct(F.col("v.x").alias("vertices"), F.col("e.x").alias("edges"))).alias("body"))
 
 
 def literal_response(spark: SparkSession, vertices, edges) -> tuple[DataFrame, DataFrame]:
