@@ -235,6 +235,22 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(table(spark, [])).collect() == []
 
 
+def test_toxicity_sample_passes_over_texts_that_do_not_fit(spark):
+    order = [r["id"] for r in spark.range(10).orderBy(F.xxhash64("id"), "id").collect()]
+    sizes = dict(zip(order, [5000, 900, 200, *[50] * 7], strict=True))
+    docs = table(spark, ["t" * sizes[i] for i in range(10)] + ["clean"] * 5)
+    rated = spark.createDataFrame([(i, int(i < 10)) for i in range(15)], "id long, toxic int")
+
+    def sampled(labels):
+        got = toxicity.sample_features(docs, labels, "doc_id", "text", "toxic", 90, 3000)
+        return sorted(r["label"] for r in got.collect())
+
+    rated = rated.withColumnRenamed("id", "doc_id")
+    assert sampled(rated) == [0] * 5 + [1] * 3  # 900 + 50 + 50 of 1,000 bytes
+    with pytest.raises(ValueError):
+        sampled(rated.where((F.col("toxic") == 0) | (F.col("doc_id") == order[0])))
+
+
 def short_lines(tag: str, n: int) -> list[str]:
     return [" ".join(f"{tag}{i}w{k}" for k in range(10)) for i in range(n)]
 

@@ -8,9 +8,10 @@ likelihood with an L1 penalty, so that few words carry weight; sentences with
 p >= 0.5 are then the offending ones.
 
 Training takes a bounded sample: of each label at most ``max_docs`` documents (a
-third as many toxic ones) and ``max_bytes`` of their text, in order of a hash of
-the id; the labels' shares among all labelled documents are kept by weights.
-Scoring reads every whole text.
+third as many toxic ones) and ``max_bytes`` of their text (a third for toxic ones),
+in order of a hash of the id. A text that no longer fits is passed over, and smaller
+ones that follow are taken; if no text of a label fits, training fails. The labels'
+shares among all labelled documents are kept by weights. Scoring reads every whole text.
 
 Cases: null and empty texts have no sentence and get the score of an empty bag,
 0; null labels teach nothing; several label rows of one document all count; with
@@ -22,10 +23,10 @@ from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, materialise, slices, utf8
+from .common import batched, slices, utf8
 from .pieces import _Cache
 
 BITS = 18
@@ -46,12 +47,17 @@ def sample_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     """Per sampled document: label, slots array<int> (sentences end with -2)."""
     rated = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) != 0).cast("int").alias("label"))
     sized = docs.select(F.col(id_col).alias("id"), F.octet_length(utf8(text_col)).alias("bytes")).join(rated, "id").withColumn("h", F.xxhash64("id"))
-    parts = []
+    picked = []  # at most max_docs + max_docs // 3 rows
     for label, most, room in ((1, max_docs // 3, max_bytes // 3), (0, max_docs, max_bytes)):
-        first = sized.where(F.col("label") == label).orderBy("h", "id").limit(most)
-        upto = F.sum("bytes").over(Window.orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0))
-        parts.append(first.withColumn("upto", upto).where(F.col("upto") <= room).select("id", "label"))
-    chosen = materialise(parts[0].unionByName(parts[1]), "sample")
+        own, left = sized.where(F.col("label") == label), room
+        fitting = own.where(F.col("bytes") <= room).orderBy("h", "id").limit(most).collect()
+        if not fitting and not own.isEmpty():
+            raise ValueError(f"no text with label {label} has at most {room} bytes to train on")
+        for r in fitting:
+            if r["bytes"] <= left:
+                picked.append((r["id"], label))
+                left -= r["bytes"]
+    chosen = docs.sparkSession.createDataFrame(picked, sized.select("id", "label").schema)
 
     def run(batches):
         import pyarrow as pa
