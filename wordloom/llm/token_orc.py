@@ -13,10 +13,10 @@ are encoded, in slices of bounded size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import materialise, slices
 from .pieces import ByteIds, made
 
 SCHEMA = "doc_id long, seq long, ids array<int>"
@@ -50,6 +50,18 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).orc(path)
 
 
+def file_number(name: Column) -> Column:
+    """A file's place among the ranges: its task's number, then its number in the task. As text, 100000 would sort before 99999."""
+    part = lambda pattern: F.coalesce(F.regexp_extract(name, pattern, 1).try_cast("long"), F.lit(0))
+    return part(r"^part-(\d+)") * 1_000_000 + part(r"-c(\d+)\.")
+
+
+def lookup(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """The rows of a bounded list of ids. The filter is pushed down: files, stripes and row groups whose
+    statistics or Bloom filters exclude all ids aren't read."""
+    return read_tokens(spark, path).where(F.col("doc_id").isin([int(i) for i in ids]))
+
+
 def token_table(spark: SparkSession, path: str) -> DataFrame:
     """From the files: doc_id, start, n_tokens, ids_crc32. ``start`` is a two-level
     prefix sum: within each file, and over one row for each file."""
@@ -67,11 +79,9 @@ def token_table(spark: SparkSession, path: str) -> DataFrame:
             crc = [zlib.crc32(values[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("seq"), batch.column("file"), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "seq", "file", "n_tokens", "ids_crc32"])
 
-    from .common import materialise
-
-    rows = read_tokens(spark, path).select("doc_id", "seq", F.col("_metadata.file_name").alias("file"), "ids")
-    thin = materialise(rows.mapInArrow(run, "doc_id long, seq long, file string, n_tokens long, ids_crc32 long"), "tokens")
-    files = thin.groupBy("file").agg(F.sum("n_tokens").alias("file_tokens"))  # names sort as the ranges do
+    rows = read_tokens(spark, path).select("doc_id", "seq", file_number(F.col("_metadata.file_name")).alias("file"), "ids")
+    thin = materialise(rows.mapInArrow(run, "doc_id long, seq long, file long, n_tokens long, ids_crc32 long"), "tokens")
+    files = thin.groupBy("file").agg(F.sum("n_tokens").alias("file_tokens"))
     before = files.select("file", (F.sum("file_tokens").over(Window.orderBy("file")) - F.col("file_tokens")).alias("before"))
     inside = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("seq")) - F.col("n_tokens")
     return thin.withColumn("inside", inside).join(before, "file").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
