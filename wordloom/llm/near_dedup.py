@@ -129,7 +129,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, bands:
         import pyarrow as pa
 
         shingle, sign = Shingler(words), Signer(bands, rows)
-        seen = _Cache(None, 2_000)  # signatures of sets met lately in this task: copies are signed once
+        seen: dict = {}  # signatures of sets met lately in this task: copies are signed once
         for part in slices(batches, 256, chars=4_000_000):
             n, hi, lo, buckets, sketches = [], [], [], [], []
             for text in part.column("text").to_pylist():
@@ -142,11 +142,9 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, bands:
                     buckets.append(None)
                     sketches.append(None)
                     continue
-                got = seen.get(key) or seen.old.get(key)
-                if got is None:
+                if (got := seen.get(key)) is None:
                     got = sign(h)
-                    if len(seen) >= seen.limit:
-                        seen.old = dict(seen)
+                    if len(seen) >= 4_000:
                         seen.clear()
                     seen[key] = got
                 buckets.append(got[0])

@@ -35,11 +35,11 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int, room: int, id
 
         import pyarrow as pa
 
-        encode, end = made(WordIds, tokenizer), end_id.to_bytes(4, "little")
-        for part in slices(batches):
+        encode, end = made(WordIds, tokenizer).many, end_id.to_bytes(4, "little")
+        for part in slices(batches, 1000, chars=4_000_000):
             rows = []
-            for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                ids = encode(t) + end
+            for d, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist()), strict=True):
+                ids += end
                 for k, a in enumerate(range(0, len(ids), 4 * room)):
                     own = ids[a : a + 4 * room]
                     rows.append((d, k, a // 4, len(own) // 4, zlib.crc32(own)))

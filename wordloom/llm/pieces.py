@@ -12,7 +12,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
-
+from array import array
 
 
 #: Letters of the safe range; each is \\p{L} in every Unicode version.
@@ -21,6 +21,7 @@ _L = "a-zA-ZÀ-ÖØ-öø-ɏ"
 BYTE_PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
 WORD_PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[^\s{_L}0-9]+")
 SAFE_BYTE = re.compile(r"[\n -~À-ÖØ-öø-ɏ]*")
+MARKS = ".,;:!?&%$*"
 SAFE_WORD = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 
 
@@ -35,26 +36,93 @@ def pack(ids: list[int]) -> bytes:
     return b"".join([i.to_bytes(4, "little") for i in ids])
 
 
-def byte_parts(text: str) -> list[str] | None:
-    """The text cut before its spaces and line ends, or None if that isn't the library's cut."""
-    if "<|" in text or SAFE_BYTE.fullmatch(text) is None:
-        return None
-    parts = text.replace("\n", " \n").split(" ")
-    return None if "" in parts or "\n" in parts else parts
+def byte_safe(text: str) -> bool:
+    """Whether cutting the text before its spaces and line ends is the library's own cut: no two of them in a row, none at an end."""
+    if text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n" in text and ("\n " in text or "\n\n" in text):
+        return False
+    return "<|" not in text and SAFE_BYTE.fullmatch(text) is not None
+
+
+def word_safe(text: str) -> bool:
+    return "<|" not in text and SAFE_WORD.fullmatch(text) is not None
+
+
+FIRST = "\x01"  # marks a text's first piece; no safe text has it
+
+
+def byte_cut(texts):
+    """Arrow strings -> lists of pieces, each the text after one space; a line end begins a piece of its own."""
+    import pyarrow.compute as pc
+
+    marked = pc.binary_join_element_wise(FIRST, pc.replace_substring(texts, "\n", " \n"), "")
+    return pc.split_pattern(marked, " ")
+
+
+def word_cut(texts):
+    import pyarrow.compute as pc
+
+    return pc.ascii_split_whitespace(pc.utf8_lower(texts))
+
+
+def by_piece(texts, cut):
+    """(distinct pieces, index of each piece among them, where each text's pieces begin and end)."""
+    import numpy as np
+    import pyarrow as pa
+
+    lists = cut(pa.array(texts, pa.string()))
+    coded = lists.values.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+
+
+def gathered(values: list[bytes], at, bounds):
+    """(ids of all texts as uint32, where each text's begin and end): ``values`` are the distinct
+    pieces' ids, ``at`` the piece at each place, ``bounds`` the texts' ends in ``at``."""
+    import numpy as np
+
+    flat = np.frombuffer(b"".join(values), "<u4")
+    size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    begin = np.cumsum(size) - size
+    n = size[at]
+    upto = np.concatenate([[0], np.cumsum(n)])
+    from_ = np.repeat(begin[at] - upto[:-1], n)
+    from_ += np.arange(len(from_))
+    return flat[from_], upto[bounds]
+
+
+def ids_of_many(texts, safe, cut, value, whole):
+    """For each text the bytes of its ids: safe texts by pieces, all at once, others whole."""
+    out = [b""] * len(texts)
+    own = [i for i, t in enumerate(texts) if t and safe(t)]
+    if own:
+        pieces, at, bounds = by_piece([texts[i] for i in own], cut)
+        ids, ends = gathered([value(p) for p in pieces], at, bounds)
+        raw, ends = ids.tobytes(), (ends * 4).tolist()
+        for i, a, b in zip(own, ends[:-1], ends[1:], strict=True):
+            out[i] = raw[a:b]
+    for i in set(range(len(texts))).difference(own):
+        if texts[i]:
+            out[i] = whole(texts[i])
+    return out
 
 
 class _Cache(dict):
-    """piece -> value in two generations of ``limit`` pieces each, so that memory is
-    bounded and pieces in use stay when the older generation goes."""
+    """piece -> value. A new piece is on trial; if it comes again it is kept, in two generations of
+    ``limit`` pieces each. Memory is bounded, and pieces that came just once don't displace others."""
 
-    def __init__(self, make, limit: int = 250_000):
+    def __init__(self, make, limit: int = 200_000):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.old, self.trial = make, limit, {}, {}
 
     def __missing__(self, piece):
-        value = self.old.pop(piece, None)
+        value = self.trial.pop(piece, None)
+        if value is None:
+            value = self.old.pop(piece, None)
         if value is None:
             value = self.make(piece)
+            if len(self.trial) >= self.limit:
+                self.trial.clear()
+            self.trial[piece] = value
+            return value
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -63,27 +131,32 @@ class _Cache(dict):
 
 
 class BytePieces:
-    """Cuts a safe text into pieces at spaces and line ends and maps each piece by a cached function.
+    """Maps pieces of ``byte_cut`` by a cached function; ``of_token`` gets what the pattern matches.
 
-    A piece is the text after one space, with that space put back; a line end
-    begins a piece of its own. ``of_token`` gets what the pattern matches.
+    A piece of letters alone is one token, and with one mark at its end it is two,
+    the first of which is cached as the piece without the mark.
     """
 
     def __init__(self, of_token, join):
-        self.tokens = _Cache(of_token)
-        self.join = join
-        self.inner = _Cache(lambda p: self._join(p if p[:1] == "\n" else " " + p))
-        self.first = _Cache(self._join, 20_000)
+        self.of_token, self.join = of_token, join
+        self.tokens = _Cache(of_token, 100_000)
+        self.inner = _Cache(self._inner)
+
+    def _inner(self, piece: str):
+        if piece.isalpha():  # in the safe range just the pattern's letters are
+            return self.of_token(" " + piece)
+        if piece[0] == FIRST:
+            return self._join(piece[1:])
+        return self._join(piece if piece[0] == "\n" else " " + piece)
 
     def _join(self, raw: str):
         tokens = self.tokens
         return self.join([tokens[t] for t in BYTE_PATTERN.findall(raw)])
 
-    def __call__(self, parts: list[str]):
-        inner = self.inner
-        out = [inner[p] for p in parts]
-        out[0] = (self.inner if parts[0][:1] == "\n" else self.first)[parts[0]]
-        return self.join(out)
+    def __call__(self, piece: str):
+        if piece[-1] in MARKS and (word := piece[:-1]).isalpha():
+            return self.join((self.inner[word], self.tokens[piece[-1]]))
+        return self.inner[piece]
 
 
 class _Library:
@@ -95,27 +168,28 @@ class _Library:
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.alphabet = {b: c for b, c in byte_alphabet().items() if chr(b) != c}
+        self.space, self.line_end = self.alphabet[32], self.alphabet[10]
 
     def encode(self, text: str) -> bytes:
         return pack(self.library.encode(text, add_special_tokens=False).ids)
 
     def of_token(self, token: str) -> bytes:
-        mapped = token.encode("utf-8").decode("latin-1").translate(self.alphabet)
-        return pack([t.id for t in self.model.tokenize(mapped)])
+        if token.isascii():  # of the safe range's ASCII only the space and the line end are written otherwise
+            mapped = token.replace(" ", self.space).replace("\n", self.line_end)
+        else:
+            mapped = token.encode("utf-8").decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
 
 class ByteIds(_Library):
-    """text -> bytes of its ids (uint32, little-endian) by the tokenizers library."""
+    """texts -> bytes of their ids (uint32, little-endian) by the tokenizers library."""
 
     def __init__(self, path: str):
         super().__init__(path)
         self.pieces = BytePieces(self.of_token, b"".join)
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        parts = byte_parts(text)
-        return self.encode(text) if parts is None else self.pieces(parts)
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        return ids_of_many(texts, byte_safe, byte_cut, self.pieces, self.encode)
 
 
 class WordIds(_Library):
@@ -123,20 +197,22 @@ class WordIds(_Library):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.tokens = _Cache(self.of_token)
+        self.tokens = _Cache(self.of_token, 100_000)
         self.words = _Cache(self._word)
 
     def _word(self, word: str) -> bytes:
+        if word.isalpha():
+            return self.of_token(word)
         tokens = self.tokens
         return b"".join([tokens[t] for t in WORD_PATTERN.findall(word)])
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if "<|" in text or SAFE_WORD.fullmatch(text) is None:
-            return self.encode(text)
-        words = self.words
-        return b"".join([words[w] for w in text.lower().split()])
+    def _piece(self, piece: str) -> bytes:
+        if piece[-1:] in MARKS and (word := piece[:-1]).isalpha():
+            return self.words[word] + self.tokens[piece[-1]]
+        return self.words[piece]
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        return ids_of_many(texts, word_safe, word_cut, self._piece, self.encode)
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -213,16 +289,27 @@ class MergeCounter:
             self._library = Tokenizer.from_file(self.path).pre_tokenizer
         return sum(self.count_symbols(list(t)) for t, _ in self._library.pre_tokenize_str(text))
 
-    def __call__(self, text: str | None) -> int:
-        if not text:
-            return 0
-        if (parts := byte_parts(text)) is not None:
-            return self.pieces(parts)
+    def _whole(self, text: str) -> int:
         if self.cut is None:
             return self._slow(text)
         parts = self.cut.split(text)
         return len(parts) - 1 + sum(self._slow(p) for p in parts if p)
 
+    def many(self, texts: list[str | None]):
+        """The number of tokens of each text."""
+        import numpy as np
+
+        out = np.zeros(len(texts), np.int64)
+        own = [i for i, t in enumerate(texts) if t and byte_safe(t)]
+        if own:
+            pieces, at, bounds = by_piece([texts[i] for i in own], byte_cut)
+            n = np.fromiter(map(self.pieces, pieces), np.int64, len(pieces))[at]
+            out[own] = np.diff(np.concatenate([[0], np.cumsum(n)])[bounds])
+        for i in set(range(len(texts))).difference(own):
+            if texts[i]:
+                out[i] = self._whole(texts[i])
+        return out
+
 
 _MADE: dict = {}
 

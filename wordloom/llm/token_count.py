@@ -26,10 +26,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        count = made(MergeCounter, tokenizer)
-        for part in slices(batches):
+        count = made(MergeCounter, tokenizer).many
+        for part in slices(batches, 1000, chars=4_000_000):
             texts = part.column("text")
-            n = pa.array([count(t) for t in texts.to_pylist()], pa.int64())
+            n = pa.array(count(texts.to_pylist()))
             size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("id"), size, n, pc.greater(n, limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 

@@ -29,9 +29,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
         import numpy as np
         import pyarrow as pa
 
-        encode, end, seq = made(ByteIds, tokenizer), end_id.to_bytes(4, "little"), 0
-        for part in slices(batches, 256, chars=8_000_000):
-            ids = [encode(t) + end for t in part.column("text").to_pylist()]
+        encode, end, seq = made(ByteIds, tokenizer).many, end_id.to_bytes(4, "little"), 0
+        for part in slices(batches, 1000, chars=4_000_000):
+            ids = [x + end for x in encode(part.column("text").to_pylist())]
             offsets = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
             values = pa.array(np.frombuffer(b"".join(ids), np.int32))
