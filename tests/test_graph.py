@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from wordloom.functions import present
 from wordloom.operators import graph as g
 from wordloom.operators import reduction as r
-from wordloom.plans.pipeline import normalize, refine
+from wordloom.plans.pipeline import normalize, refine, search
 from wordloom.schema import Graph, GraphInputError, GraphQuery
 from wordloom.sources import responses
+from wordloom.streaming import clicks
 
 
 def edges_of(spark, pairs):
@@ -123,9 +124,45 @@ def test_query_parameters():
         GraphQuery().checked()
     with pytest.raises(GraphInputError):
         GraphQuery(word="a", branching=5).checked()
+    with pytest.raises(GraphInputError):
+        GraphQuery(word="a", lang="la").checked()
+    with pytest.raises(GraphInputError):
+        refine(Graph(None, None), GraphQuery(pruning=6))
     assert GraphQuery(word="a").checked().branching == 2
 
 
+def test_search(spark):
+    v, e = responses.literal_response(spark, [(1, "far", "es"), (2, "joya", "es"), (3, "joie", "fr"), (4, "x", "la")], [(2, 3, True), (3, 4, False), (4, 1, True)])
+    graph = search(v, e, GraphQuery(word="joya", lang="es", branching=2))
+    assert {x["id"]: (x["root"], x["depth"]) for x in graph.nodes.collect()} == {"2": (True, 0), "3": (False, 1), "4": (False, 2)}
+    assert pairs(graph.edges) == text([(2, 3), (4, 3)])
+
+
+def test_elements_are_created_and_replaced(spark, tmp_path):
+    n, e = nodes_of(spark, [2, 1], root=1), edges_of(spark, [(2, 1), (1, 2)])
+    shown, path = present.elements(g.bfs_depths(n, e), e), f"file://{tmp_path}/elements"
+    responses.write_elements(shown, path)
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        responses.write_elements(shown, path)
+    responses.write_elements(shown.where("kind = 'node' or source = '1'"), path, replace=True)
+    got = [(x["kind"], x["id"], x["source"]) for x in spark.read.parquet(path).coalesce(1).collect()]
+    assert sorted(got, key=str) == sorted([("node", "1", None), ("node", "2", None), ("edge", None, "1")], key=str)
+
+
+def test_page_stream(spark, tmp_path):
+    folder = f"file://{tmp_path}/clicks"
+    spark.createDataFrame([("joy", "en"), ("x", "frm")], "word string, lang string").write.parquet(folder)
+    stream = clicks.page_stream(spark.readStream.schema("word string, lang string").parquet(folder))
+    stream.writeStream.format("memory").queryName("pages_seen").trigger(availableNow=True).start().awaitTermination(60)
+    assert {(x["word"], x["url"]) for x in spark.table("pages_seen").collect()} == {("joy", "https://en.wiktionary.org/wiki/joy#English"), ("x", None)}
+
+
+def test_a_hub_does_not_multiply(spark):
+    star = [(f"a{i}", "hub") for i in range(3000)] + [("hub", f"c{i}") for i in range(3000)] + [("a7", "c9")]
+    got = r.bypassed(spark.createDataFrame(star, "scc_from string, scc_to string"), False)
+    assert [tuple(x) for x in got.collect()] == [("a7", "c9")]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_properties_of_random_graphs(spark, seed):
     rng = random.Random(seed)

@@ -48,8 +48,12 @@ def elements(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def parse_number(text: Column) -> Column:
-    """A number field: blank is 0, and so is what is no whole number."""
-    return F.coalesce(F.nullif(F.trim(text), F.lit("")).try_cast("int"), F.lit(0))
+    """A number field as a double: null and blank are 0, decimals and exponents count, hexadecimal whole numbers too; all else is NaN."""
+    raw = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    hexadecimal = F.conv(F.substring(raw, 3, 16), 16, 10).cast("double")
+    decimal = F.rlike(raw, F.lit(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"))
+    value = F.when(raw == "", F.lit(0.0)).when(decimal, raw.try_cast("double")).when(F.rlike(raw, F.lit("^0[xX][0-9a-fA-F]{1,16}$")), hexadecimal)
+    return value.otherwise(F.lit(float("nan")))
 
 
 def refetch_needed(requested: Column, fetched: Column) -> Column:

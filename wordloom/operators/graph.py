@@ -86,33 +86,38 @@ def restrict_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select(edges.columns)
 
 
-def prune_round(nodes: DataFrame, edges: DataFrame, collect_lang: str) -> tuple[DataFrame, DataFrame]:
-    """Keep the root, the collected language, what has an outgoing edge, and what has two
-    incoming ones or more. Degrees are those of ``edges`` as they come."""
+def _thin(nodes: DataFrame, collect_lang: str) -> DataFrame:
+    """id, safe: what pruning has to know of a node; rounds carry nothing else."""
+    return nodes.select("id", F.coalesce(F.col("root") | (F.col("lang") == collect_lang), F.lit(False)).alias("safe"))
+
+
+def _round(thin: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = edges.select(F.col("source").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("target", F.lit(0), F.lit(1)))
     degree = ends.groupBy("id").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
-    keep = F.col("root") | (F.col("lang") == collect_lang) | (F.coalesce("o", F.lit(0)) > 0) | (F.coalesce("i", F.lit(0)) > 1)
-    kept = nodes.join(degree, "id", "left").where(keep).select(nodes.columns)
-    return kept, restrict_edges(edges, kept)
+    keep = F.col("safe") | (F.coalesce("o", F.lit(0)) > 0) | (F.coalesce("i", F.lit(0)) > 1)
+    kept = materialise(thin.join(degree, "id", "left").where(keep).select("id", "safe"), "kept")
+    return kept, materialise(restrict_edges(edges, kept), "edges")
 
 
 def prune(nodes: DataFrame, edges: DataFrame, collect_lang: str, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """``rounds`` rounds; without any, edges are still restricted to the nodes."""
+    """``rounds`` rounds; without any, edges are still restricted to the nodes. A round keeps the root,
+    the collected language, what has an outgoing edge, and what has two incoming ones or more; degrees
+    are those of the edges as they come."""
     if rounds == 0:
         return nodes, restrict_edges(edges, nodes)
+    thin = _thin(nodes, collect_lang)
     for _ in range(rounds):
-        nodes, edges = prune_round(nodes, edges, collect_lang)
-        nodes, edges = materialise(nodes, "nodes"), materialise(edges, "edges")
-    return nodes, edges
+        thin, edges = _round(thin, edges)
+    return nodes.join(thin.select("id"), "id", "left_semi").select(nodes.columns), edges
 
 
 def prune_fixpoint(nodes: DataFrame, edges: DataFrame, collect_lang: str) -> tuple[DataFrame, DataFrame]:
     """Rounds until nothing goes any more; pruning is monotone, so counts tell. The first round may
     leave the nodes and still restrict the edges, so both are counted."""
-    before = None
+    thin, before = _thin(nodes, collect_lang), None
     while True:
-        nodes, edges = prune(nodes, edges, collect_lang, 1)
-        now = (nodes.count(), edges.count())
+        thin, edges = _round(thin, edges)
+        now = (thin.count(), edges.count())
         if now == before:
-            return nodes, edges
+            return nodes.join(thin.select("id"), "id", "left_semi").select(nodes.columns), edges
         before = now

@@ -53,17 +53,16 @@ def _core_labels(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return out
 
 
-def _trim(pairs: DataFrame) -> DataFrame:
-    """Drop edges of vertices without an in- or an out-edge until none is left to drop; they can't be on a cycle."""
+def _trim(pairs: DataFrame, rounds: int = 3) -> DataFrame:
+    """Drop edges of vertices without an in- or an out-edge, for some rounds; they can't be on a cycle. A long
+    chain would take a round for each of its layers, so the rest is left to colouring."""
     n = pairs.count()
-    while n:
+    while n and rounds:
         pairs = pairs.join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
         pairs = pairs.join(pairs.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
         pairs = materialise(pairs, "core")
-        m = pairs.count()
-        if m == n:
-            break
-        n = m
+        m, n = n, pairs.count()
+        rounds = rounds - 1 if n < m else 0
     return pairs
 
 
@@ -80,18 +79,21 @@ def _spread(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def scc(nodes: DataFrame, edges: DataFrame, core_edges: int = CORE_EDGES) -> DataFrame:
-    """id, scc_id (the least id of the component). The core left by trimming is labelled on the
-    driver if its size allows, else by colouring: the least label spreads forward, then backward from
+    """id, scc_id (the least id of the component). What is left of the edges is labelled on the
+    driver if its size allows, else it is trimmed and coloured: the least label spreads forward, then backward from
     each colour's root inside the colour; what is reached is a component, and the rest goes on."""
     spark = nodes.sparkSession
     pairs = edges.where("source != target").select(F.col("source").alias("a"), F.col("target").alias("b")).distinct()
-    pairs = _trim(materialise(pairs, "pairs"))
+    pairs = materialise(pairs, "pairs")
     found = None
     while not pairs.isEmpty():
         if pairs.limit(core_edges + 1).count() <= core_edges:
             new = spark.createDataFrame(_core_labels([tuple(r) for r in pairs.collect()]), "id string, scc_id string")
             found = new if found is None else found.unionByName(new)
             break
+        pairs = _trim(pairs)
+        if pairs.isEmpty():
+            break
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         colour = _spread(pairs, ids.withColumn("label", F.col("id")))
         ca, cb = colour.select(F.col("id").alias("a"), F.col("label").alias("la")), colour.select(F.col("id").alias("b"), F.col("label").alias("lb"))
@@ -100,7 +102,7 @@ def scc(nodes: DataFrame, edges: DataFrame, core_edges: int = CORE_EDGES) -> Dat
         found = back.withColumnRenamed("label", "scc_id") if found is None else found.unionByName(back.withColumnRenamed("label", "scc_id"))
         gone = back.select("id")
         pairs = pairs.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b")
-        pairs = _trim(materialise(pairs, "pairs"))
+        pairs = materialise(pairs, "pairs")
     if found is None:
         return nodes.select("id", F.col("id").alias("scc_id"))
     return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("scc_id", "id").alias("scc_id"))
@@ -116,6 +118,13 @@ def condensed_pairs(condensed: DataFrame) -> DataFrame:
     return condensed.where("scc_from != scc_to").select("scc_from", "scc_to").distinct()
 
 
+def originals(condensed: DataFrame) -> DataFrame:
+    """scc_from, scc_to, originals: the sorted edges ("source>target") behind each condensed pair. A pair's list is as long
+    as its edges are many; ``condense`` has the same as rows."""
+    edge = F.concat_ws(">", "source", "target")
+    return condensed.where("scc_from != scc_to").groupBy("scc_from", "scc_to").agg(F.sort_array(F.collect_list(edge)).alias("originals"))
+
+
 def topo_levels(dag: DataFrame, labels: DataFrame) -> DataFrame:
     """scc_id, level: the longest path from a component without predecessors."""
     levels = materialise(labels.select("scc_id").distinct().withColumn("level", F.lit(0)), "levels")
@@ -128,20 +137,45 @@ def topo_levels(dag: DataFrame, labels: DataFrame) -> DataFrame:
         levels = materialise(levels.unionByName(front).groupBy("scc_id").agg(F.max("level").alias("level")), "levels")
 
 
+def _by_one_step(pairs: DataFrame, dag: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, c) that dag paths of exactly two steps join. Each pair is expanded from its end of
+    lower degree, so that a hub's in- and out-edges don't multiply; what is written are pairs, not paths."""
+    out = dag.groupBy(F.col("scc_from").alias("a")).agg(F.count(F.lit(1)).alias("n_out"))
+    into = dag.groupBy(F.col("scc_to").alias("c")).agg(F.count(F.lit(1)).alias("n_in"))
+    sized = pairs.join(out, "a").join(into, "c")
+    step, last = dag.select(F.col("scc_from").alias("a"), F.col("scc_to").alias("b")), dag.select(F.col("scc_from").alias("b"), F.col("scc_to").alias("c"))
+    ahead = sized.where("n_out <= n_in").join(step, "a").join(last, ["b", "c"], "left_semi")
+    behind = sized.where("n_out > n_in").join(last, "c").join(step, ["a", "b"], "left_semi")
+    return ahead.select("a", "c").unionByName(behind.select("a", "c")).distinct()
+
+
 def bypassed(dag: DataFrame, full: bool) -> DataFrame:
-    """Condensed pairs that a longer path replaces: one of exactly two steps, or, if ``full``, of any length."""
-    x, y = dag.alias("x"), dag.alias("y")
-    two = x.join(y, F.col("x.scc_to") == F.col("y.scc_from")).select(F.col("x.scc_from").alias("scc_from"), F.col("y.scc_to").alias("scc_to"))
-    far = materialise(two.distinct(), "far")
+    """Condensed pairs that a longer path replaces: one of exactly two steps, or, if ``full``, of any length.
+
+    Only an edge whose start has other out-edges and whose end has other in-edges can be replaced. ``full``
+    searches on from the starts of such edges, as long as one of a start's edges isn't replaced yet."""
+    names = (F.col("a").alias("scc_from"), F.col("c").alias("scc_to"))
+    forks = dag.groupBy(F.col("scc_from").alias("a")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
+    joins = dag.groupBy(F.col("scc_to").alias("c")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c")
+    open_ = dag.select(F.col("scc_from").alias("a"), F.col("scc_to").alias("c")).join(forks, "a", "left_semi").join(joins, "c", "left_semi")
+    open_ = materialise(open_, "candidates")
+    gone = materialise(_by_one_step(open_, dag), "bypassed")
     if not full:
-        return far
-    front = far
-    while not front.isEmpty():
-        f, y = front.alias("f"), dag.alias("y")
-        step = f.join(y, F.col("f.scc_to") == F.col("y.scc_from")).select(F.col("f.scc_from").alias("scc_from"), F.col("y.scc_to").alias("scc_to"))
-        front = materialise(step.distinct().join(far, ["scc_from", "scc_to"], "left_anti"), "front")
-        far = far.unionByName(front)
-    return far
+        return gone.select(*names)
+    open_ = materialise(open_.join(gone, ["a", "c"], "left_anti"), "candidates")
+    step = dag.select(F.col("scc_from").alias("b"), F.col("scc_to").alias("c"))
+    front = materialise(dag.select(F.col("scc_from").alias("a"), F.col("scc_to").alias("c")).join(open_.select("a").distinct(), "a", "left_semi"), "far")
+    seen = None  # what two steps or more reach
+    while not open_.isEmpty():
+        front = front.join(open_.select("a").distinct(), "a", "left_semi").withColumnRenamed("c", "b").join(step, "b").select("a", "c").distinct()
+        front = materialise(front if seen is None else front.join(seen, ["a", "c"], "left_anti"), "front")
+        if front.isEmpty():
+            break
+        seen = front if seen is None else seen.unionByName(front)
+        hit = materialise(open_.join(front, ["a", "c"], "left_semi"), "bypassed")
+        gone = gone.unionByName(hit)
+        open_ = materialise(open_.join(hit, ["a", "c"], "left_anti"), "candidates")
+    return gone.select(*names)
 
 
 def transitive_reduction(nodes: DataFrame, edges: DataFrame, mode: str = "two_hop", labels: DataFrame | None = None) -> DataFrame:

@@ -3,7 +3,8 @@
 DOC: documents are vertices (first word, language), each a child of document
 (d - 1) div 3, with shortcuts from grandparents and great-grandparents, some back
 edges and some repeated tuples; every 37th document has no edge to a parent.
-HANDOFF: the user of an event to the user of the next, for every 50th event.
+HANDOFF: the user of an event to the user of the next, in blocks of 20 consecutive events; a vertex is a
+user in a block.
 """
 
 from __future__ import annotations
@@ -36,27 +37,28 @@ def doc_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def handoffs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges). The event before has the id less by one, so this is a join, not a global window."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
-    before = e.select((F.col("event_id") + 1).alias("event_id"), F.col("user_id").alias("u"))
-    pairs = e.where("event_id % 50 = 0").join(before, "event_id").where("u <> user_id")
-    edges = pairs.select(F.col("u").cast("string").alias("source"), F.col("user_id").cast("string").alias("target"), F.col("event_id").alias("pos"))
-    nodes = edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct()
-    return nodes, edges
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.expr("event_id div 20").alias("block"))
+    e = e.withColumn("id", F.concat_ws("@", F.col("user_id").cast("string"), F.col("block").cast("string")))
+    before = e.select((F.col("event_id") + 1).alias("event_id"), "block", F.col("id").alias("source"))
+    edges = e.join(before, ["event_id", "block"]).where("source <> id").select("source", F.col("id").alias("target"), F.col("event_id").alias("pos"))
+    return e.select("id").distinct(), edges
 
 
 def parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): order to part (first line only), part to supplier, order to supplier."""
-    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").where("l_orderkey % 10 = 0")
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     o, p, s = (F.concat(F.lit(c), F.col(k).cast("string")) for c, k in (("o", "l_orderkey"), ("p", "l_partkey"), ("s", "l_suppkey")))
     edges = l.where("l_linenumber = 1").select(o.alias("source"), p.alias("target")).union(l.select(p, s)).union(l.select(o, s)).distinct().withColumn("pos", F.lit(0).cast("long"))
     return edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct(), edges
 
 
 def click_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, user_id, word, lang: each event's user clicks the node of document (event_id div 3) % 100."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.expr("(event_id div 30) % 100").alias("v_id"))
-    v = doc_vertices(spark, sf_dir).where("v_id < 100").select("v_id", "word", "lang")
-    return e.join(v, "v_id")
+    """event_id, user_id, word, lang: each event's user clicks the node of document (event_id div 30) modulo the number of documents."""
+    v = doc_vertices(spark, sf_dir)
+    n = F.broadcast(v.agg(F.count(F.lit(1)).alias("n")))  # one row
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id").join(n)
+    e = e.select("event_id", "user_id", F.expr("(event_id div 30) % n").alias("v_id"))
+    return e.join(v.select("v_id", "word", "lang"), "v_id")
 
 
 DOC_SQL = r"""
@@ -75,12 +77,13 @@ oriented AS (SELECT s::VARCHAR AS source, t::VARCHAR AS target, pos FROM o),
 dedup AS (SELECT source, target, min(pos) AS pos FROM oriented GROUP BY ALL)
 """
 HANDOFF_SQL = """
-oriented AS (SELECT b.user_id::VARCHAR AS source, e.user_id::VARCHAR AS target, e.event_id AS pos
-  FROM events e JOIN events b ON b.event_id = e.event_id - 1 WHERE e.event_id % 50 = 0 AND b.user_id <> e.user_id),
-nodes AS (SELECT source AS id FROM oriented UNION SELECT target FROM oriented)
+h AS (SELECT event_id, event_id // 20 AS block, user_id || '@' || (event_id // 20) AS id FROM events),
+oriented AS (SELECT b.id AS source, e.id AS target, e.event_id AS pos
+  FROM h e JOIN h b ON b.event_id = e.event_id - 1 AND b.block = e.block WHERE b.id <> e.id),
+nodes AS (SELECT DISTINCT id FROM h)
 """
 PARTS_SQL = """
-l AS (SELECT 'o' || l_orderkey AS o, 'p' || l_partkey AS p, 's' || l_suppkey AS s, l_linenumber AS n FROM lineitem WHERE l_orderkey % 10 = 0),
+l AS (SELECT 'o' || l_orderkey AS o, 'p' || l_partkey AS p, 's' || l_suppkey AS s, l_linenumber AS n FROM lineitem),
 oriented AS (SELECT o AS source, p AS target FROM l WHERE n = 1 UNION SELECT p, s FROM l UNION SELECT o, s FROM l),
 nodes AS (SELECT source AS id FROM oriented UNION SELECT target FROM oriented)
 """

@@ -15,6 +15,8 @@ from . import bindings as b
 from .pipeline import normalize, refine
 
 BRANCHING, COLLECT = 4, "es"
+#: Raw values of a number field.
+PARAMETERS = ("3", " 4 ", "", "  ", "x", None, "3.5", "1e1", "-2", ".5", "5.", "0x1F", "3d", "1 2")
 
 
 def _doc(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -108,8 +110,14 @@ def conversations_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def param_parse(spark: SparkSession, sf: str) -> DataFrame:
-    t = spark.createDataFrame([("3",), (" 4 ",), ("",), ("  ",), ("x",), (None,)], "raw string")
-    return t.select("raw", present.parse_number(F.col("raw")).alias("n"))
+    """n is null where the field is no number."""
+    t = spark.createDataFrame([(x,) for x in PARAMETERS], "raw string")
+    return t.select("raw", F.nanvl(present.parse_number(F.col("raw")), F.lit(None).cast("double")).alias("n"))
+
+
+def search_enabled(spark: SparkSession, sf: str) -> DataFrame:
+    t = spark.createDataFrame([("joy", False), ("joy", True), ("", False), (None, False)], "word string, loading boolean")
+    return t.select("word", "loading", present.search_enabled(F.col("word"), F.col("loading")).alias("enabled"))
 
 
 def refetch_needed(spark: SparkSession, sf: str) -> DataFrame:
@@ -141,6 +149,11 @@ def condensed_edge_provenance(spark, sf):
     return r.condense(edges, labels).where("scc_from <> scc_to").groupBy("scc_from", "scc_to").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
+def condensed_edge_originals(spark, sf):
+    _, edges, labels = _doc_scc(spark, sf)
+    return r.originals(r.condense(edges, labels)).select("scc_from", "scc_to", F.array_join("originals", ",").alias("originals"))
+
+
 def intra_scc_edges(spark, sf):
     _, edges, labels = _handoff_scc(spark, sf)
     large = labels.groupBy(F.col("scc_id").alias("scc_from")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -202,6 +215,8 @@ QUERIES = {
     "json_request": conversations_requests,
     "refetch_needed": refetch_needed,
     "param_parse": param_parse,
+    "search_enabled": search_enabled,
+    "condensed_edge_originals": condensed_edge_originals,
     "proxy_path_rewrite": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", present.proxy_path(F.concat(F.lit("/api"), F.col("url"))).alias("path")),
 }
 
@@ -286,11 +301,17 @@ seed AS (SELECT * FROM v WHERE v_id = 40)
 SELECT hops.v_id, min(hop)::INTEGER AS hop FROM hops JOIN v ON v.v_id = hops.v_id, seed WHERE hops.v_id = 40 OR v.word <> seed.word OR v.lang <> seed.lang GROUP BY hops.v_id"""),
     "node_url": _sql(f", {_NAMES} SELECT id, name, {_URL} AS url FROM nodes LEFT JOIN names ON code = lang"),
     "node_color": _sql(" SELECT id, CASE WHEN root THEN 'red' WHEN lang = 'en' THEN 'lightgreen' ELSE 'lightblue' END AS colour FROM nodes"),
-    "url_change_log": _sql(f""", {_NAMES}, c AS (SELECT event_id, user_id, {_URL} AS url FROM events JOIN v ON v.v_id = (event_id // 30) % 100 JOIN names ON code = lang)
+    "url_change_log": _sql(f""", {_NAMES}, c AS (SELECT event_id, user_id, {_URL} AS url FROM events JOIN v ON v.v_id = (event_id // 30) % (SELECT count(*) FROM documents) JOIN names ON code = lang)
 SELECT event_id, user_id, url FROM c QUALIFY url IS DISTINCT FROM lag(url) OVER (PARTITION BY user_id ORDER BY event_id)"""),
     "graph_elements": _sql(_BFS + _ELEMENTS),
     "json_request": _sql(r""" SELECT v_id, '{"word":' || to_json(word) || ',"lang":"' || lang || '","n":2}' AS body FROM v"""),
     "refetch_needed": "SELECT requested::INTEGER AS requested, fetched::INTEGER AS fetched, coalesce(fetched IS NOT NULL AND requested > fetched, false) AS refetch FROM (VALUES (1, NULL), (2, 2), (3, 2), (1, 4)) t(requested, fetched)",
-    "param_parse": "SELECT raw, coalesce(try_cast(nullif(trim(raw), '') AS INTEGER), 0)::INTEGER AS n FROM (VALUES ('3'), (' 4 '), (''), ('  '), ('x'), (NULL)) t(raw)",
+    # written out by hand: what JavaScript's Number gives
+    "param_parse": """SELECT raw, n::DOUBLE AS n FROM (VALUES ('3', 3), (' 4 ', 4), ('', 0), ('  ', 0), ('x', NULL), (NULL, 0), ('3.5', 3.5),
+  ('1e1', 10), ('-2', -2), ('.5', 0.5), ('5.', 5), ('0x1F', 31), ('3d', NULL), ('1 2', NULL)) t(raw, n)""",
+    "search_enabled": "SELECT * FROM (VALUES ('joy', false, true), ('joy', true, false), ('', false, false), (NULL, false, false)) t(word, loading, enabled)",
+    "condensed_edge_originals": _sql(_scc_sql("dedup") + " SELECT scc_from, scc_to, string_agg(source || '>' || target, ',' ORDER BY source || '>' || target) AS originals FROM cond WHERE scc_from <> scc_to GROUP BY ALL"),
+    "json_roundtrip": _sql(""" SELECT row_number() OVER (PARTITION BY pos // 8 ORDER BY pos) - 1 AS pos, CASE WHEN f THEN s ELSE t END AS e_id, CASE WHEN f THEN t ELSE s END AS n_id, f AS is_p
+FROM (SELECT *, (pos // 8) % 4 = 0 AS f FROM o)"""),
     "proxy_path_rewrite": "SELECT page_id, regexp_replace('/api' || url, '^/api', '') AS path FROM pages",
 }

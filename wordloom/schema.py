@@ -64,8 +64,14 @@ class GraphQuery:
     do_tr: bool = True
 
     def checked(self) -> "GraphQuery":
+        """A search as the form allows it: a word, one of the source languages, one of the languages to collect."""
         if not self.word:
             raise GraphInputError("a search needs a word")
+        if self.lang not in SOURCE_LANGUAGES or self.collect_lang not in COLLECT_LANGUAGES:
+            raise GraphInputError("the language isn't one to start from, or to collect")
+        return self.bounded()
+
+    def bounded(self) -> "GraphQuery":
         if not 1 <= self.branching <= 4 or not 0 <= self.pruning <= 5:
             raise GraphInputError("branching is 1 to 4 and pruning 0 to 5")
         return self

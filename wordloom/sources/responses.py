@@ -77,5 +77,5 @@ def validate(vertices: DataFrame, edges: DataFrame) -> None:
 
 
 def write_elements(elements: DataFrame, path: str, replace: bool = False) -> None:
-    """The element table as Parquet: created, or put in the place of what is there."""
-    elements.write.mode("overwrite" if replace else "errorifexists").parquet(path)
+    """The element table as Parquet, nodes before edges, each in the order of its ids: created, or put in the place of what is there."""
+    elements.orderBy(F.col("kind").desc(), "id", "source", "target").write.mode("overwrite" if replace else "errorifexists").parquet(path)

@@ -11,17 +11,26 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset a temporary folder, on a local master alone."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="wordloom-")
     return _OWN[app]
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/wordloom/{tag}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again. It cuts the lineage,
+    survives lost executors, and later passes can prune its columns."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wordloom/{tag}-{uuid.uuid4().hex}"
+    path = new_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
