@@ -289,8 +289,59 @@ def test_line_dedup_over_blank_lines(spark):
 
 
 def test_alignment_keeps_order():
-    assert line_dedup.aligned([0, 1, 2, 3], [5, 6, 2, 7]) == [0, 1, 3]
-    assert line_dedup.aligned([0, 1, 2], [4, 4, 4]) in ([0], [1], [2])
+    assert line_dedup.aligned("abcd", "xabyd") == [(0, 1), (1, 2), (3, 4)]
+    assert line_dedup.aligned("abcdef", "defabc") in ([(0, 3), (1, 4), (2, 5)], [(3, 0), (4, 1), (5, 2)])
+    assert line_dedup.aligned("abaacb", "abaacb") == [(k, k) for k in range(6)]
+    assert line_dedup.aligned("", "a") == line_dedup.aligned("a", "b") == []
+    rng = random.Random(8)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abcdefgh"[: rng.randrange(2, 9)]) for _ in range(rng.randrange(9))) for _ in "12")
+        got = line_dedup.aligned(a, b)
+        assert all(a[x] == b[y] for x, y in got)
+        assert all(x < u and y < v for (x, y), (u, v) in zip(got, got[1:]))
+
+
+def test_line_dedup_against_brute_force(spark):
+    """Random documents of lines of all sizes, many shared, moved and repeated: what stands in an earlier
+    document as a run of at least 15 words goes, found by comparing all runs of all pairs."""
+    rng = random.Random(11)
+    pool = [" ".join(f"v{i}w{k}" for k in range(rng.choice([1, 3, 5, 8, 14, 15, 20]))) for i in range(25)]
+    texts = []
+    for _ in range(60):
+        lines: list[str] = []
+        while len(lines) < rng.randrange(1, 14):
+            if texts and rng.random() < 0.5:
+                other = rng.choice(texts).split("\n")
+                a = rng.randrange(len(other))
+                lines += other[a : a + rng.randrange(1, 6)]
+            else:
+                lines.append(rng.choice([*pool, "", " ", sentences(rng, rng.randrange(1, 20))]))
+        texts.append("\n".join(lines))
+    worded = [[(k, x.strip(" ")) for k, x in enumerate(t.split("\n")) if x.split()] for t in texts]
+    want = []
+    for d, own in enumerate(worded):
+        gone = set()
+        runs = {tuple(x for _, x in w[a:b]) for w in worded[:d] for a in range(len(w)) for b in range(a + 1, len(w) + 1)}
+        for a in range(len(own)):
+            for b in range(a + 1, len(own) + 1):
+                part = tuple(x for _, x in own[a:b])
+                if part in runs and sum(len(x.split()) for x in part) >= 15:
+                    gone |= {k for k, _ in own[a:b]}
+        want.append(sorted(gone))
+    got = {r["id"]: r["doomed"] for r in line_dedup.deletions(table(spark, texts)).collect()}
+    blank = lambda d, k: not texts[d].split("\n")[k].split()
+    assert [[k for k in got.get(d, []) if not blank(d, k)] for d in range(len(texts))] == want
+    assert sum(map(bool, want)) > 20
+
+
+def test_line_dedup_of_odd_rows(spark):
+    """Null and repeated ids, repeated rows, a very long text."""
+    a, b = ("\n".join(short_lines(x, 4)) for x in "ab")
+    long = "\n".join(short_lines("l", 3000))
+    rows = [(None, a), (None, a), (5, a), (5, b), (5, a), (6, f"{b}\n{a}"), (7, None), (8, long), (9, f"{a}\n{long}\nown")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None, "x", 1, "y") for i, t in rows], SCHEMA)
+    got = sorted(((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(docs).collect()), key=str)
+    assert got == sorted([(None, a), (None, a), (5, a), (5, b), (5, a), (6, ""), (7, None), (8, long), (9, "own")], key=str)
 
 
 def test_langid(spark):

@@ -1,16 +1,26 @@
-"""Line dedup by shared blocks of lines.
+"""Line dedup by pairwise alignment with earlier documents.
 
 A passage is a run of consecutive lines of at least ``min_words`` words; lines
 without words don't count, neither as lines nor as breaks. A passage that stands
 in an earlier document (smaller id) too is deleted, wherever it stands there.
 
-For that, each document's minimal blocks are hashed (64 bits): from each line on
-the shortest block that has ``min_words`` words, and the shortest such block that
-ends with each line. Equal passages have equal minimal blocks, and these cover all
-lines of the passage; so a block is deleted just when the smallest id with its hash
-is smaller than the document's own. That id is known from one aggregation with
-map-side sums. Work is linear: a line begins at most one block and ends at most one,
-and no list of a block's documents is ever made. Groups are single documents.
+1. Single lines may be common, so what is looked up are rare runs of them: each
+   document's minimal blocks, that is from each line on the shortest run that has
+   ``min_words`` words, and the shortest such run that ends with each line. Equal
+   passages have equal minimal blocks, and these cover all lines of the passage.
+2. A block's partner is the document with the smallest id that has it (one
+   aggregation with map-side sums). So each block names at most one pair of
+   documents, whatever number of documents share it, and work is linear.
+3. The lines of a later document's blocks meet the lines of its partner's shared
+   blocks and are aligned by patience diff: lines unique on both sides, their
+   longest increasing run, and what lies between again. Aligned runs that hold a
+   whole block are deleted from the later document. Blocks that stand in another
+   order there are aligned in further rounds; where only repeated lines are left,
+   a block is taken where its hash says it stands.
+
+Hashes that more than 1/HEAVY of all blocks have (at most HEAVY of them) are
+settled by a broadcast, and documents that are partner to more than 1/HEAVY of all
+pairs are dealt out over salts, so no key is hot.
 
 Cases: a null text stays null; a passage repeated inside one document alone stays;
 lines without words go when the lines with words on both sides go, or when all lines
@@ -27,6 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import batched, materialise, slices, split_marked
 
+HEAVY = 2000
+
 
 def longest_run(values):
     """Indexes of a longest strictly increasing subsequence."""
@@ -49,29 +61,62 @@ def longest_run(values):
 
 
 def aligned(own, other):
-    """Patience alignment of matched lines. ``own``, ``other``: line numbers in the
-    later and in the first document, one pair for each match, sorted by ``own``.
-    Returns the positions in these lists that are aligned. Line dedup itself no longer needs it."""
+    """Patience alignment of two lists of lines: sorted pairs of places that match, rising on both sides."""
     from collections import Counter
 
-    seen = Counter(other)
-    anchors = [i for i, o in enumerate(other) if seen[o] == 1]
-    anchors = [anchors[k] for k in longest_run([other[i] for i in anchors])]
-    if not anchors:  # only repeated lines: their longest increasing run
-        anchors = longest_run(other)
-    at = dict(zip(own, range(len(own)), strict=True))
-    kept = set(anchors)
-    for step in (1, -1):  # grow the blocks over repeated lines next to them
-        for i in anchors if step == 1 else anchors[::-1]:
-            while (k := at.get(own[i] + step)) is not None and k not in kept and other[k] == other[i] + step:
-                kept.add(k)
-                i = k
-    return sorted(kept)
+    out, regions = [], [(0, len(own), 0, len(other))]
+    while regions:
+        a, a_end, b, b_end = regions.pop()
+        while a < a_end and b < b_end and own[a] == other[b]:
+            out.append((a, b))
+            a, b = a + 1, b + 1
+        while a < a_end and b < b_end and own[a_end - 1] == other[b_end - 1]:
+            a_end, b_end = a_end - 1, b_end - 1
+            out.append((a_end, b_end))
+        if a == a_end or b == b_end:
+            continue
+        there = Counter(other[b:b_end])
+        at = {x: k for k, x in enumerate(other[b:b_end], b) if there[x] == 1}
+        here = Counter(own[a:a_end])
+        once = [(k, at[x]) for k, x in enumerate(own[a:a_end], a) if here[x] == 1 and x in at]
+        anchors = [once[k] for k in longest_run([y for _, y in once])]
+        out += anchors
+        if anchors:
+            for x, y in [*anchors, (a_end, b_end)]:
+                regions.append((a, x, b, y))
+                a, b = x + 1, y + 1
+    return sorted(out)
+
+
+def struck(own: dict, other: dict, blocks) -> set:
+    """Places of the lines to delete from the later document. ``own``, ``other``: place -> line of
+    both documents; ``blocks``: (first, last) places of the blocks known to stand in the other one."""
+    there = sorted(other)
+    gone: set = set()
+    left = set(blocks)
+    while left:
+        here = sorted({k for first, last in left for k in range(first, last + 1)})
+        pairs = aligned([own[k] for k in here], [other[k] for k in there])
+        run_of, run, before = {}, 0, None  # places that go on together on both sides are one run
+        for x, y in pairs:
+            x, y = here[x], there[y]
+            if before != (x - 1, y - 1):
+                run += 1
+            run_of[x], before = run, (x, y)
+        hit = {(i, j) for i, j in left if i in run_of and run_of[i] == run_of.get(j)}
+        if not hit:
+            break
+        whole = {run_of[i] for i, _ in hit}
+        gone.update(k for k, r in run_of.items() if r in whole)
+        left -= hit
+    for i, j in left:  # lines that repeat on a side and have no anchor beside them
+        gone.update(range(i, j + 1))
+    return gone
 
 
 def blocks(text: bytes, min_words: int):
-    """(hash of 8 bytes, first line, last line, next line with words, ends) of each minimal block.
-    ``next`` is the number of lines if there is none; ``ends``: 1 if no line with words is before, plus 2 if none is after."""
+    """(hash of 8 bytes, place of the first line, line hashes, line numbers, lines) of each minimal block. Places count
+    lines with words; ``line numbers`` has one more, of the next line with words; ``lines``: how many have words."""
     from hashlib import blake2b
 
     lines = text.split(b"\n")
@@ -86,7 +131,7 @@ def blocks(text: bytes, min_words: int):
 
     def block(i, j):
         h = marks[i][:8] if j == i + 1 else blake2b(b"".join(marks[i:j]), digest_size=8).digest()
-        return h, at[i], at[j - 1], at[j], (i == 0) + 2 * (j == last)
+        return h, i, b"".join([m[:8] for m in marks[i:j]]), at[i : j + 1], last
 
     for j in range(1, last + 1):
         before = i
@@ -97,8 +142,19 @@ def blocks(text: bytes, min_words: int):
             yield block(i - 1, j)
 
 
+def spans(gone: set, number: dict, lines: int):
+    """(first, last, next, ends) of runs of places: line numbers, and ``ends``: 1 if no line with words is before, plus 2 if none is after."""
+    out, run = [], []
+    for k in [*sorted(gone), None]:
+        if run and k != run[-1] + 1:
+            out.append((number[run[0]], number[run[-1]], number[run[-1] + 1], (run[0] == 0) + 2 * (run[-1] + 1 == lines)))
+            run = []
+        run.append(k)
+    return out
+
+
 def doomed_lines(found) -> list[int]:
-    """Line numbers of one document to delete. ``found``: (first, last, next, ends) of its blocks to delete."""
+    """Line numbers of one document to delete. ``found``: (first, last, next, ends) of its runs to delete."""
     out, first, last, follow, ends = [], 0, -1, -1, 0
     for a, b, c, e in sorted(found):
         if a > follow:
@@ -111,40 +167,82 @@ def doomed_lines(found) -> list[int]:
     return [*range(follow)] if ends == 3 else [*out, *range(first, last + 1)]
 
 
-def deletions(docs: DataFrame, id_col="doc_id", text_col="text", min_words: int = 15) -> DataFrame:
-    """id, body (hash of the text), doomed array<int>: the line numbers to delete, for documents that have some."""
+def find_blocks(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """id, body (hash of the text), h, place, marks (line hashes, 8 bytes each), numbers, lines: a row for each minimal block."""
     docs = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     thin = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("body"), F.encode(text_col, "UTF-8").alias("text"))
-    fields = ("first", "last", "next", "ends")
 
-    def of_texts(batches):
+    def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        kinds = (pa.int64(), pa.int64(), pa.binary(8), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.int32())
+
         def table():
-            at = pa.array(np.array(spans, np.int32).reshape(-1, 4).T.copy().ravel())
-            n = len(ids)
-            columns = [pa.array(ids, pa.int64()), pa.array(bodies, pa.int64()), pa.array(np.frombuffer(b"".join(hashes), "<i8"))]
-            return pa.RecordBatch.from_arrays([*columns, *(at.slice(k * n, n) for k in range(4))], ["id", "body", "h", *fields])
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)]
+            columns[2] = pa.array(np.frombuffer(b"".join([r[2] for r in rows]), "<i8"))
+            return pa.RecordBatch.from_arrays(columns, ["id", "body", "h", "place", "marks", "numbers", "lines"])
 
-        ids, bodies, hashes, spans = [], [], [], []
+        rows: list = []
         for part in slices(batches, 256, chars=4_000_000):
             for id_, body, text in zip(*(part.column(c).to_pylist() for c in ("id", "body", "text")), strict=True):
-                for h, *span in blocks(text, min_words):
-                    ids.append(id_)
-                    bodies.append(body)
-                    hashes.append(h)
-                    spans.append(span)
-                    if len(ids) >= 50_000:
+                for found in blocks(text, min_words):
+                    rows.append((id_, body, *found))
+                    if len(rows) >= 20_000:
                         yield table()
-                        ids, bodies, hashes, spans = [], [], [], []
+                        rows = []
         yield table()
 
-    found = batched(thin).mapInArrow(of_texts, "id long, body long, h long, first int, last int, next int, ends int")
-    found = materialise(found, "blocks")
-    firsts = found.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h", "least")
-    later = found.join(firsts, "h").where(F.col("id") > F.col("least"))
-    grouped = later.groupBy("id", "body").agg(F.collect_set(F.struct(*fields)).alias("rows"))  # one document's blocks
+    return batched(thin).mapInArrow(run, "id long, body long, h long, place int, marks binary, numbers array<int>, lines int")
+
+
+def partnered(found: DataFrame) -> DataFrame:
+    """The blocks that several documents have, with their partner (pid, pbody): the first document that has them."""
+    first = found.groupBy("h").agg(F.min(F.struct("id", "body")).alias("x"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n"))
+    first = materialise(first.where("x.id < most").select("h", F.col("x.id").alias("pid"), F.col("x.body").alias("pbody"), "n"), "firsts")
+    heavy = F.broadcast(first.where(F.col("n") * HEAVY > found.count()))  # fewer than HEAVY rows
+    settled = found.join(heavy, "h").drop("n")
+    rest = found.join(heavy.select("h"), "h", "left_anti").join(first.drop("n"), "h")
+    return settled.unionByName(rest)
+
+
+def deletions(docs: DataFrame, id_col="doc_id", text_col="text", min_words: int = 15) -> DataFrame:
+    """id, body (hash of the text), doomed array<int>: the line numbers to delete, for documents that have some."""
+    found = materialise(find_blocks(docs, id_col, text_col, min_words), "blocks")
+    shared = materialise(partnered(found).where("id > pid or id = pid and body = pbody"), "shared")
+    one = F.struct("place", "marks", "numbers", "lines")
+    later = shared.where("id > pid").groupBy("pid", "pbody", "id", "body").agg(F.collect_set(one).alias("own"))
+    later = materialise(later, "later")
+    first = shared.where("id = pid").groupBy("pid", "pbody").agg(F.collect_set(F.struct("place", "marks")).alias("other"))
+    most = later.count() / HEAVY
+    crowded = later.groupBy("pid", "pbody").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    crowded = F.broadcast(crowded.select("pid", "pbody", F.ceil(F.col("n") / F.lit(max(most, 1.0))).alias("salts")))  # fewer than HEAVY rows
+    many = F.coalesce("salts", F.lit(1))
+    later = later.join(crowded, ["pid", "pbody"], "left").withColumn("salt", F.pmod(F.xxhash64("id", "body"), many)).drop("salts")
+    first = first.join(crowded, ["pid", "pbody"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), many - 1))).drop("salts")
+    pairs = later.join(first, ["pid", "pbody", "salt"]).select("id", "body", "own", "other")
+
+    def lines_of(rows):
+        return {r["place"] + k: r["marks"][8 * k : 8 * k + 8] for r in rows for k in range(len(r["marks"]) // 8)}
+
+    def align(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            columns = [batch.column(c) for c in ("id", "body", "own", "other")]
+            for k in range(batch.num_rows):  # one pair at a time
+                id_, body, own, other = (c[k].as_py() for c in columns)
+                at = [(r["place"], r["place"] + len(r["marks"]) // 8 - 1) for r in own]
+                number = {r["place"] + k: x for r in own for k, x in enumerate(r["numbers"])}
+                rows += [(id_, body, *x) for x in spans(struck(lines_of(own), lines_of(other), at), number, own[0]["lines"])]
+            kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 4)
+            out = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], ["id", "body", "first", "last", "next", "ends"])
+
+    fields = ("first", "last", "next", "ends")
+    runs = batched(pairs).mapInArrow(align, "id long, body long, first int, last int, next int, ends int")
+    grouped = runs.groupBy("id", "body").agg(F.collect_set(F.struct(*fields)).alias("rows"))  # one document's runs
 
     def of_docs(batches):
         import pyarrow as pa
