@@ -206,6 +206,34 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).collect() == []
 
 
+def test_mixing_rates_are_the_balanced_ones(spark):
+    """Rates equal those of a plain bisection of each source's dual, meet the targets, and differ inside a source."""
+    import math
+
+    rng = random.Random(12)
+    rows = [(i, "w " * min(300, int(3 * rng.paretovariate(1.2))), f"s{i % 4}") for i in range(1200)] + [(2000 + i, "w " * 9, "tiny") for i in range(3)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    source = {i: s for i, _, s in rows}
+    for name in ("s0", "s1", "s2", "s3", "tiny"):
+        own = [r for r in got if source[r["doc_id"]] == name]
+        sizes, target = [r["size"] for r in own], own[0]["target"]
+        mean = sum(sizes) / len(sizes)
+
+        def words(x):
+            return sum(n * (3.0 if x * n / mean > 2 else min(3.0, math.exp(x * n / mean))) for n in sizes)
+
+        low, high = -1e4, 1e4
+        for _ in range(200):
+            low, high = ((low + high) / 2, high) if words((low + high) / 2) < target else (low, (low + high) / 2)
+        for r in own:
+            assert r["rate"] == pytest.approx(min(3.0, math.exp(min(2, high * r["size"] / mean))), rel=1e-4)
+        assert sum(r["rate"] * r["size"] for r in own) == pytest.approx(target, rel=1e-6)
+        if name != "tiny":
+            assert len({round(r["rate"], 6) for r in own}) > 5
+            assert abs(sum(r["taken"] for r in own) - target) <= 0.002 * target + 10
+        assert all(r["copies"] in (int(r["rate"]), int(r["rate"]) + 1) or r["copies"] == r["rate"] == 3 for r in own)
+
+
 def test_mixed_rows(spark):
     """Clashing columns, null ids, repeated rows and null texts: rows come as often as ``mix`` says."""
     rows = [(i // 2 if i % 5 else None, f"{'w ' * (i % 11)}", "en", f"s{i % 3}", None, "x", 1, "y") for i in range(120)] + [(7, None, "en", None, 0, "x", 1, "y")]
