@@ -6,12 +6,19 @@
    an Odd sketch (a parity bitmap of SKETCH_BITS); bands are hashed to buckets.
 3. Buckets of at most ``small`` representatives give all their pairs. A larger
    bucket gives the pairs of a leader (the member that sits in most large
-   buckets) with its other members. A pair is dropped before it is emitted if
-   the sketches' XOR population count shows so few agreeing samples that a
-   similarity at the threshold is all but impossible (below 1e-9).
+   buckets) with its other members. The XOR population count of two sketches
+   estimates how many samples differ, and with them the similarity; a pair goes
+   before it is emitted if its estimate is so low that a pair at the threshold
+   has it with a probability below 1e-9 (of the samples and of collisions in the
+   sketch together).
 4. Pairs that remain are confirmed on the full sets and merged into components
    by alternating large-star and small-star steps.
-5. Large buckets whose members are not all of one component then are joined into
+5. Members of large buckets that are not all of one component then are joined by
+   an exact prefix filter: of each set the rarest shingles, as many that two sets
+   at the threshold share one, name groups. Families that share much but not
+   enough have rare shingles of their own and fall apart there, so work grows with
+   members. Small groups give pairs as before.
+6. Groups that are still large and of several components are joined into
    crowds. In each crowd the members outside its main component meet all members,
    in blocks of bounded size; a block compares sketches, confirms on full sets in
    order of likeness and emits just the links that join components. So no
@@ -46,14 +53,28 @@ def bands_for(threshold: float, rows: int, miss: float) -> int:
     return math.ceil(math.log(miss) / math.log1p(-(threshold**rows)))
 
 
-def fewest_agreeing(samples: int, threshold: float, chance: float = 1e-9) -> int:
-    """The largest m with P(fewer than m of the samples agree) <= chance at the threshold."""
-    total, m = 0.0, 0
-    while True:
-        total += math.comb(samples, m) * threshold**m * (1 - threshold) ** (samples - m)
-        if total > chance:
-            return m
-        m += 1
+def estimated_similarity(count, samples: int, bits: int = SKETCH_BITS):
+    """The similarity that an XOR population count of two Odd sketches speaks for: samples that
+    differ put two marks each into the XOR, of which -(bits / 2) ln(1 - 2 count / bits) are expected."""
+    marks = -bits / 2 * math.log1p(-2 * min(count, bits // 2 - 1) / bits)
+    return 1 - marks / (2 * samples)
+
+
+def highest_count(samples: int, threshold: float, bits: int = SKETCH_BITS, chance: float = 1e-9) -> int:
+    """The smallest count that a pair at the threshold exceeds with a probability of at most ``chance``: the
+    number of samples that differ is binomial, and their marks fall into the sketch one after another."""
+    import numpy as np
+
+    odd = np.zeros(bits + 1)
+    odd[0] = 1.0  # the distribution of odd cells after no mark
+    total, up = np.zeros(bits + 1), 1 - np.arange(bits + 1) / bits
+    for differ in range(samples + 1):
+        total += math.comb(samples, differ) * (1 - threshold) ** differ * threshold ** (samples - differ) * odd
+        for _ in range(2):
+            step = odd * up
+            odd = np.append(odd[1:] * (1 - up[1:]), 0.0) + np.append(0.0, step[:-1])
+    above = np.cumsum(total[::-1])[::-1]  # P(count >= c)
+    return int(np.flatnonzero(np.append(above[1:], 0.0) <= chance)[0])
 
 
 def _word_hash(word: bytes) -> int:
@@ -200,14 +221,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 def joining_links(table, percent: int, far: int):
     """The links of one block that join components: ``table`` has rep, at (component), n, sketch,
-    buckets, set and outer (whether the member is to meet all others)."""
+    set and outer (whether the member is to meet all others)."""
     import numpy as np
     import pyarrow as pa
 
     rep, at, n = (table.column(c).to_numpy() for c in ("rep", "at", "n"))
     outer = np.flatnonzero(table.column("outer").to_numpy(zero_copy_only=False))
     sketch = np.array(table.column("sketch").to_pylist(), np.int64).view(np.uint64)
-    buckets = np.array(table.column("buckets").to_pylist(), np.int64)
     lists = table.column("set").combine_chunks()
     values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
     sets: dict[int, frozenset] = {}
@@ -228,9 +248,7 @@ def joining_links(table, percent: int, far: int):
     for i in outer:
         away = np.bitwise_count(sketch ^ sketch[i]).sum(1)
         fits = (at != at[i]) & (away <= far) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent)
-        for j in np.flatnonzero(fits):
-            if (buckets[j] == buckets[i]).any():
-                pairs.append((int(away[j]), int(i), int(j)))
+        pairs += [(int(away[j]), int(i), int(j)) for j in np.flatnonzero(fits)]
     for _, i, j in sorted(pairs):
         x, y = find(int(at[i])), find(int(at[j]))
         if x == y:
@@ -243,13 +261,26 @@ def joining_links(table, percent: int, far: int):
     return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", threshold: float = 0.8, words: int = 5, rows: int = 5, miss: float = 1e-7, small: int = 24, block: int = 256) -> DataFrame:
+def rarest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """rep, at, bucket: of each member's set the shingles that are rarest among the members, as many that two
+    sets that meet the threshold have one of them in common."""
+    every = members.join(sets, F.col("rep") == F.col("id")).select("rep", F.explode("set").alias("g"))
+    often = every.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.sort_array(F.collect_list(F.struct("n", "g")))["g"].alias("ranked")
+    # a shingle that one member has alone joins nothing, but takes its place among the rarest
+    ranked = every.join(often, "g").groupBy("rep").agg(rank)
+    needed = F.size("ranked") - F.ceil(F.size("ranked") * F.lit(percent) / 100).cast("int") + 1
+    first = ranked.select("rep", F.explode(F.slice("ranked", F.lit(1), needed)).alias("bucket"))
+    return first.join(members, "rep").select("rep", "at", "bucket")
+
+
+def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", threshold: float = 0.8, words: int = 5, rows: int = 5, miss: float = 1e-7, small: int = 24, block: int = 256, room: int = 4000) -> DataFrame:
     """id, n_shingles, component_id, kept: one row per document; ``threshold`` is met when
     100 * intersection >= 100 * threshold * union (to whole percent)."""
     percent = round(100 * threshold)
     bands = bands_for(threshold, rows, miss)
     samples = bands * rows
-    far = 2 * (samples - fewest_agreeing(samples, threshold))  # samples that may differ: the XOR has at most so many bits
+    far = highest_count(samples, threshold)  # as an estimate: estimated_similarity(far, samples)
 
     prints = materialise(fingerprints(docs, id_col, text_col, words, bands, rows), "prints")
     filled = prints.where("n_shingles > 0")
@@ -270,27 +301,50 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", threshold
     leader = central.groupBy("bucket").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("l"))
     star = many.join(leader, "bucket").where("rep != l").select(F.least("rep", "l").alias("a"), F.greatest("rep", "l").alias("b"))
     pairs = found.unionByName(star).distinct()
-    pairs = pairs.join(sketches.alias("x"), F.col("a") == F.col("x.rep")).join(sketches.alias("y"), F.col("b") == F.col("y.rep"))
-    sizes_fit = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    pairs = materialise(pairs.where(sizes_fit & (odd_distance(F.col("x.sketch"), F.col("y.sketch")) <= far)).select("a", "b"), "pairs")
 
+    def screened(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sketches.alias("x"), F.col("a") == F.col("x.rep")).join(sketches.alias("y"), F.col("b") == F.col("y.rep"))
+        sizes_fit = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+        return both.where(sizes_fit & (odd_distance(F.col("x.sketch"), F.col("y.sketch")) <= far)).select("a", "b")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        two = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+        same = F.size(F.array_intersect("sa", "sb"))
+        return two.where(100 * same >= percent * (F.size("sa") + F.size("sb") - same)).select("a", "b")
+
+    def unsettled(groups: DataFrame) -> DataFrame:
+        """bucket, rep, at (component), first (least rep of the bucket) of the buckets that have several components."""
+        now = groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("at"))
+        mixed = now.groupBy("bucket").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.min("rep").alias("first")).where("lo != hi").select("bucket", "first")
+        return materialise(now.join(mixed, "bucket"), "open")
+
+    pairs = materialise(screened(pairs), "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowded).distinct()
     sets = materialise(full_sets(docs, ids, id_col, text_col, words), "sets")
-    two = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    same = F.size(F.array_intersect("sa", "sb"))
-    links = materialise(two.where(100 * same >= percent * (F.size("sa") + F.size("sb") - same)).select("a", "b"), "links")
+    links = materialise(confirmed(pairs), "links")
     labels = components(links)
 
-    now = many.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("at"))
-    mixed = now.groupBy("bucket").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.min("rep").alias("first")).where("lo != hi").select("bucket", "first")
-    open_ = materialise(now.join(mixed, "bucket"), "open")
+    open_ = unsettled(many)
+    if not open_.isEmpty():
+        prefixes = materialise(rarest(open_.select("rep", "at").distinct(), sets, percent), "prefixes")
+        sizes = prefixes.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        prefixes = materialise(prefixes.join(sizes, "bucket"), "prefixes")
+        few = prefixes.where(F.col("size") <= small)
+        found = few.alias("x").join(few.alias("y"), "bucket").where("x.rep < y.rep and x.at != y.at")
+        pairs = materialise(screened(found.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()), "pairs")
+        links = materialise(links.unionByName(confirmed(pairs)), "links")
+        labels = components(links)
+        open_ = unsettled(prefixes.where(F.col("size") > small))
     if not open_.isEmpty():
         crowds = components(open_.select(F.col("rep").alias("a"), F.col("first").alias("b")))
         own = open_.select("rep", "at").distinct().join(crowds.withColumnRenamed("id", "rep"), "rep", "left")
-        own = materialise(own.select("rep", "at", F.coalesce("component", "rep").alias("crowd")), "crowds")
-        parts = own.groupBy("crowd", "at").agg(F.count(F.lit(1)).alias("k"))
+        own = own.join(sketches.select("rep", F.col("n").alias("weight")), "rep")
+        own = materialise(own.select("rep", "at", "weight", F.coalesce("component", "rep").alias("crowd")), "crowds")
+        # blocks are bounded by members and by shingles: ``room`` of them stand for one member
+        share = F.greatest(F.lit(1.0), F.col("weight") / F.lit(float(room)))
+        parts = own.groupBy("crowd", "at").agg(F.sum(share).alias("k"))
         shape = parts.groupBy("crowd").agg(F.max_by("at", F.struct("k", "at")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("all"))
-        shape = shape.select("crowd", "main", F.ceil((F.col("all") - F.col("most")) / block).alias("outer_blocks"), F.ceil(F.col("all") / (4 * block)).alias("segments"))
+        shape = shape.select("crowd", "main", F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("most")) / block)).alias("outer_blocks"), F.ceil(F.col("all") / (4 * block)).alias("segments"))
         own = own.join(shape, "crowd").withColumn("h", F.xxhash64(F.lit(3), "rep"))
         is_outer = F.col("at") != F.col("main")
         outer = own.where(is_outer).withColumn("o", F.pmod("h", F.col("outer_blocks"))).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("segments") - 1)))
@@ -299,7 +353,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", threshold
         every = every.where(~is_outer | (F.pmod("h", F.col("outer_blocks")) != F.col("o")))
         keep = ("crowd", "o", F.col("s").cast("long").alias("s"), "rep", "at")
         dealt = outer.select(*keep, F.lit(True).alias("outer")).unionByName(every.select(*keep, F.lit(False).alias("outer")))
-        thick = reps.select("rep", "n", "sketch", "buckets").join(sets.select(F.col("id").alias("rep"), "set"), "rep")
+        thick = reps.select("rep", "n", "sketch").join(sets.select(F.col("id").alias("rep"), "set"), "rep")
         dealt = dealt.join(thick, "rep")
         more = dealt.groupBy("crowd", "o", "s").applyInArrow(lambda table: joining_links(table, percent, far), "a long, b long")
         labels = components(links.unionByName(more))
