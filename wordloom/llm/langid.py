@@ -1,9 +1,11 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts of the hashed 2- and 3-grams of each language are sums over all labelled
-documents; the log-probability matrix (buckets x languages) is broadcast, and
-texts are scored in numpy batches: the rows of a text's n-grams are gathered and
-added. Texts are lower-cased and edged with a space.
+documents; the log-probability matrix (buckets x languages) and the log-priors
+(shares of the labelled documents) are broadcast. A batch of texts is a sparse matrix of
+counts (text, bucket), sorted by text; its product with the matrix is made for a few languages
+at a time. Texts are lower-cased and edged with a space. The more languages there are, the
+fewer buckets: the matrix never has more than MOST_CELLS cells.
 
 Cases: a text that is null or has no letter gets ``und`` with score 0; documents
 without a language are scored but teach nothing; with no labelled document at
@@ -72,53 +74,65 @@ def count_grams(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lan
 
 
 def train(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", buckets: int = BUCKETS, alpha: float = 0.5):
-    """(languages, log-probabilities [bucket, language], log-priors). The counts that
-    reach the driver are at most buckets x languages; more than MOST_CELLS is an error."""
+    """(languages, log-probabilities [bucket, language], log-priors). What reaches the driver are a row for
+    each language and at most MOST_CELLS counts."""
     import numpy as np
 
-    langs = [r[0] for r in docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy("l").limit(MOST_CELLS // buckets + 1).toLocalIterator()]
-    if len(langs) * buckets > MOST_CELLS:
-        raise ValueError(f"more than {MOST_CELLS // buckets} languages: the matrix to broadcast would be too large")
+    rated = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = sorted(tuple(r) for r in rated.groupBy(F.col(lang_col).cast("string").alias("l")).agg(F.count(F.lit(1)).alias("n")).toLocalIterator())
+    langs = [r[0] for r in rows]
+    while buckets > 2 and len(langs) * buckets > MOST_CELLS:
+        buckets //= 2
     table = count_grams(docs, id_col, text_col, lang_col, buckets).toPandas()
     counts = np.zeros((buckets, len(langs)))
     counts[table["bucket"].to_numpy(int), np.searchsorted(langs, table["lang"].to_numpy(str))] = table["n"].to_numpy(float) if len(table) else 0
-    return langs, np.log((counts + alpha) / (counts.sum(0) + alpha * buckets)).astype(np.float32)
+    seen = np.array([r[1] for r in rows], float)
+    return langs, np.log((counts + alpha) / (counts.sum(0) + alpha * buckets)).astype(np.float32), np.log(seen / max(seen.sum(), 1))
+
+
+def scores(texts: list[str], logp, priors, columns: int = 16):
+    """Log-likelihoods plus log-priors [text, language]: a sparse product over the whole batch."""
+    import numpy as np
+
+    buckets = logp.shape[0]
+    pair, triple, begins, ends = _grams(texts, buckets)
+    text = np.repeat(np.arange(len(texts)), ends - begins)
+    in_pair, in_triple = np.ones(len(pair), bool), np.ones(len(triple), bool)
+    in_pair[ends[:-1] - 1] = False  # n-grams that run over into the next text
+    in_triple[ends[:-1] - 1] = in_triple[ends[:-1] - 2] = False
+    keys = np.concatenate([(text[:-1] * buckets + pair)[in_pair], (text[:-2] * buckets + triple)[in_triple]])
+    keys, times = np.unique(keys, return_counts=True)
+    row, at = keys // buckets, keys % buckets
+    first = np.flatnonzero(np.diff(row, prepend=-1))  # every text has n-grams, so rows are the texts
+    out = np.empty((len(texts), logp.shape[1]))
+    for a in range(0, logp.shape[1], columns):
+        part = slice(a, a + columns)
+        out[:, part] = np.add.reduceat(logp[at, part] * times[:, None].astype(np.float64), first)
+    return out + priors
 
 
 def predict(docs: DataFrame, model, id_col="doc_id", text_col="text") -> DataFrame:
     """All columns of ``docs`` that are named in id_col, with lang_pred and score (the posterior of the
-    predicted language under equal priors)."""
-    langs, logp = model
-    shared = docs.sparkSession.sparkContext.broadcast(logp)
-    buckets = logp.shape[0]
+    predicted language)."""
+    langs = model[0]
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        logp = shared.value
-        for part in slices(batches, 256, chars=4_000_000):
+        langs, logp, priors = shared.value
+        for part in slices(batches, 256, chars=1_000_000):
             texts = part.column("text").to_pylist()
             own = [i for i, t in enumerate(texts) if langs and _has_letter(t)]
             pred, score = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
             if own:
-                pair, triple, begins, ends = _grams([texts[i] for i in own], buckets)
-                for i, a, b in zip(own, begins, ends, strict=True):
-                    ids = np.concatenate([pair[a : b - 1], triple[a : b - 2]])
-                    seen, times = np.unique(ids, return_counts=True) if len(ids) < 4096 else _times(ids, buckets)
-                    z = times @ logp[seen].astype(np.float64)
-                    z = np.exp(z - z.max())
-                    best = int(z.argmax())
-                    pred[i], score[i] = langs[best], z[best] / z.sum()
+                z = scores([texts[i] for i in own], logp, priors)
+                z = np.exp(z - z.max(1, keepdims=True))
+                best = z.argmax(1)
+                pred[own], score[own] = np.array(langs, object)[best], z.max(1) / z.sum(1)
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(pred.tolist(), pa.string()), pa.array(score)], ["id", "lang_pred", "score"])
 
     thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return thin.mapInArrow(run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
-
-def _times(ids, buckets: int):
-    import numpy as np
-
-    count = np.bincount(ids, minlength=buckets)
-    seen = np.flatnonzero(count)
-    return seen, count[seen]
