@@ -1,7 +1,7 @@
 """Media columns: content-addressed payloads in tar shards.
 
 A payload (a text's bytes, padded with zero bytes to a positive multiple of 64)
-is stored as a lossless 8-bit grey PNG image, 64 samples wide. Images go to tar
+is stored as a lossless 8-bit grey PNG image in as few rows of equal length as may be. Images go to tar
 shards once for each content: rows carry digest, shard, offset and length.
 Metadata columns come from range reads of the 33 header bytes alone; features
 are computed from the stored bytes read back.
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import batched, bitmap, bitmap_slot, marked, materialise, slices, utf8
 
-WIDTH = 64
+WIDTH = 64  # payloads are multiples of it
+ROW = 1 << 16  # samples in a row of an image at most
+HEAVY = 1000  # what more than 1/HEAVY of all documents have is settled by a broadcast
 HEADER = 33  # signature and IHDR chunk
 SIGNATURE = b"\x89PNG\r\n\x1a\n"  # fixed by the PNG format
 
@@ -40,13 +42,16 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
 
 
 def encode_png(payload: bytes, level: int = 6) -> bytes:
-    """An 8-bit grey image of the payload's bytes, WIDTH wide; filter type 0 in each row."""
+    """An 8-bit grey image of the payload's bytes, in the least number of rows that WIDTH divides; filter type 0 in each row."""
     import numpy as np
 
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    lines = np.zeros((len(rows), WIDTH + 1), np.uint8)
+    height = -(-len(payload) // ROW)
+    while len(payload) // WIDTH % height:
+        height += 1
+    rows = np.frombuffer(payload, np.uint8).reshape(height, -1)
+    lines = np.zeros((height, rows.shape[1] + 1), np.uint8)
     lines[:, 1:] = rows
-    size = WIDTH.to_bytes(4, "big") + len(rows).to_bytes(4, "big")
+    size = rows.shape[1].to_bytes(4, "big") + height.to_bytes(4, "big")
     return SIGNATURE + _chunk(b"IHDR", size + bytes((8, 0, 0, 0, 0))) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), level)) + _chunk(b"IEND", b"")
 
 
@@ -136,15 +141,17 @@ def payload_digest(text_col: str):
     return F.sha2(F.rpad(raw, room.cast("int"), F.unhex(F.lit("00"))), 256)
 
 
-def write_shards(docs: DataFrame, folder: str, text_col: str = "text", shard_bytes: int = 64 << 20, level: int = 6) -> DataFrame:
-    """Write every distinct payload once; the index: digest, shard, offset, length.
+def write_shards(docs: DataFrame, folder: str, text_col: str = "text", shard_bytes: int = 64 << 20, level: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Write every distinct payload once; the index: digest, shard, offset, length, and the hashed digests
+    (key) that occur more than once: key, n.
 
     A bitmap of bounded size marks digests that occur more than once. What isn't
     marked is stored where it is read; only marked payloads are shuffled by
     digest, once for each task that has them, and stored there."""
     keyed = docs.select(F.col(text_col).alias("text"), payload_digest(text_col).alias("digest"))
-    again = keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(again, "digest"))
+    counted = keyed.groupBy(F.xxhash64("digest").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    again = materialise(counted.where("n > 1"), "again")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(again, "key"))
     schema = "digest string, shard string, offset long, length long, media binary"
 
     def first(batches):
@@ -177,13 +184,13 @@ def write_shards(docs: DataFrame, folder: str, text_col: str = "text", shard_byt
             yield shards.taken()
         shards.close()
 
-    stored = materialise(batched(keyed.withColumn("slot", bitmap_slot("digest"))).mapInArrow(first, schema), "stored-first")
+    stored = materialise(batched(keyed.withColumn("key", F.xxhash64("digest")).withColumn("slot", bitmap_slot("key")).drop("key")).mapInArrow(first, schema), "stored-first")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rest = batched(stored.where("media is not null").repartition(parts, "digest")).mapInArrow(second, schema)
     columns = ("digest", "shard", "offset", "length")
     index = materialise(stored.where("media is null").select(*columns).unionByName(rest.select(*columns)), "index")
     drop_strays(folder, index)
-    return index
+    return index, again
 
 
 def drop_strays(folder: str, index: DataFrame) -> None:
@@ -199,9 +206,11 @@ def drop_strays(folder: str, index: DataFrame) -> None:
             fs.delete_file(info.path)
 
 
-def _by_shard(index: DataFrame, read, schema: str) -> DataFrame:
+def _by_shard(index: DataFrame, read, schema: str, block: int = 1 << 20) -> DataFrame:
+    """Rows are dealt by blocks of a shard, so that a large shard isn't one task's."""
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return batched(index.repartition(parts, "shard").sortWithinPartitions("shard", "offset")).mapInArrow(read, schema)
+    dealt = index.repartition(parts, "shard", F.floor(F.col("offset") / block))
+    return batched(dealt.sortWithinPartitions("shard", "offset")).mapInArrow(read, schema)
 
 
 def header_columns(spark: SparkSession, index: DataFrame, folder: str) -> DataFrame:
@@ -224,8 +233,8 @@ def header_columns(spark: SparkSession, index: DataFrame, folder: str) -> DataFr
 
 
 def stored_columns(index: DataFrame, folder: str) -> DataFrame:
-    """Per digest, from the stored bytes read back: header columns, sums of payload and stored form, feature."""
-    schema = "digest string, width int, height int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, shard string, offset long, length long"
+    """Per digest, from the stored bytes read back: sums of payload and stored form, feature."""
+    schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, shard string, offset long, length long"
 
     def read(batches):
         import hashlib
@@ -234,16 +243,15 @@ def stored_columns(index: DataFrame, folder: str) -> DataFrame:
 
         fs, root = open_fs(folder)
         name = source = None
-        fields = pa.schema([("digest", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+        fields = pa.schema([("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
         for batch in batches:
             rows = []
             for digest, shard, offset, length in zip(*(batch.column(c).to_pylist() for c in ("digest", "shard", "offset", "length")), strict=True):
                 if shard != name:
                     name, source = shard, fs.open_input_file(f"{root}/{shard}")
-                width, height, _ = header(source.read_at(HEADER, offset))
                 media = source.read_at(length, offset)
                 payload = decode_png(media)
-                rows.append((digest, width, height, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), length, hashlib.sha256(media).hexdigest(), feature(payload), shard, offset, length))
+                rows.append((digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), length, hashlib.sha256(media).hexdigest(), feature(payload), shard, offset, length))
             columns = list(zip(*rows, strict=True)) or [()] * len(fields)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
 
@@ -251,8 +259,14 @@ def stored_columns(index: DataFrame, folder: str) -> DataFrame:
 
 
 def media_columns(docs: DataFrame, folder: str, id_col="doc_id", text_col="text", shard_bytes: int = 64 << 20) -> DataFrame:
-    """id, n_bytes, digest, shard, offset, length and the columns of ``stored_columns``, one row per document."""
-    index = write_shards(docs, folder, text_col, shard_bytes)
-    stored = materialise(stored_columns(index, folder), "stored")
-    keyed = docs.select(F.col(id_col).cast("long").alias(id_col), F.octet_length(utf8(text_col)).cast("long").alias("n_bytes"), payload_digest(text_col).alias("digest"))
-    return keyed.join(stored, "digest")
+    """id, n_bytes, digest, shard, offset, length, the columns of ``header_columns`` (from range reads of headers alone)
+    and those of ``stored_columns``, one row per document."""
+    index, again = write_shards(docs, folder, text_col, shard_bytes)
+    stored = materialise(stored_columns(index, folder).join(header_columns(docs.sparkSession, index, folder), "digest"), "stored")
+    keyed = docs.select(F.col(id_col).cast("long").alias(id_col), F.octet_length(utf8(text_col)).cast("long").alias("n_bytes"), F.unhex(payload_digest(text_col)).alias("raw"))
+    stored = stored.withColumn("raw", F.unhex("digest"))
+    often = F.broadcast(again.where(F.col("n") * HEAVY > docs.count()).select("key"))  # fewer than HEAVY rows
+    heavy = materialise(stored.join(often, F.xxhash64("digest") == F.col("key"), "left_semi"), "heavy")
+    frequent = keyed.join(F.broadcast(heavy), "raw")
+    rest = keyed.join(F.broadcast(heavy.select("raw")), "raw", "left_anti").join(stored, "raw")
+    return frequent.unionByName(rest).drop("raw")
