@@ -131,6 +131,128 @@ def test_media_round_trip(spark, texts):
     assert len({(r["shard"], r["offset"]) for r in got.values()}) == len({t or "" for t in texts})
 
 
+def test_media_headers_and_odd_tables(spark, monkeypatch):
+    texts = ["a" * 70_000, "b" * 64 * 1031, "c" * 64 * 1024 * 3, "", None] + ["hot"] * 40
+    monkeypatch.setattr(media, "HEAVY", 4)  # a fourth of the rows is frequent
+    folder = new_path(spark, "m")
+    index, again = media.write_shards(table(spark, texts), folder, shard_bytes=20_000)
+    assert {r["n"] for r in again.collect()} == {2, 40}
+    heads = {r["digest"]: r for r in media.header_columns(spark, index, folder).collect()}
+    docs = table(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") != 2, F.col("doc_id")))
+    got = media.media_columns(docs, new_path(spark, "m")).collect()
+    assert len(got) == len(texts) and [r["doc_id"] for r in got].count(None) == 1
+    for r in got:
+        t = texts[2 if r["doc_id"] is None else r["doc_id"]] or ""
+        assert r["payload_sha256"] == hashlib.sha256(media.padded(t.encode())).hexdigest()
+        assert (r["width"], r["height"], r["bits"]) == tuple(heads[r["digest"]])[1:] and r["width"] * r["height"] == r["payload_bytes"] and r["width"] <= 65_536
+    assert media.media_columns(table(spark, []), new_path(spark, "m")).collect() == []
+
+
+def test_header_columns_read_headers_alone(spark, tmp_path):
+    """Payload bytes that are destroyed after writing don't matter to metadata."""
+    folder = f"file://{tmp_path}/shards"
+    index, _ = media.write_shards(table(spark, ["some text", "x" * 500]), folder)
+    rows = index.collect()
+    for r in rows:
+        with open(f"{tmp_path}/shards/{r['shard']}", "r+b") as f:
+            f.seek(r["offset"] + media.HEADER)
+            f.write(b"\xff" * (r["length"] - media.HEADER))
+    assert sorted(r["width"] * r["height"] for r in media.header_columns(spark, index, folder).collect()) == [64, 512]
+
+
+def test_sketches_estimate_similarity():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    bands = near_dedup.bands_for(0.85, 5, 1e-7)
+    sign, samples = near_dedup.Signer(bands, 5), 5 * bands
+    cut, off, low = near_dedup.highest_count(samples, 0.85), [], 0
+    for _ in range(200):
+        common = rng.integers(0, 1 << 63, 850, np.uint64)
+        a, b = (np.unique(np.concatenate([common, rng.integers(0, 1 << 63, 75, np.uint64)])) for _ in "ab")
+        (x, s), (y, t) = sign(a), sign(b)
+        count = int(np.bitwise_count(s.view(np.uint64) ^ t.view(np.uint64)).sum())
+        assert (x == y).any() and count <= cut  # in a common bucket, and not cut
+        off.append(near_dedup.estimated_similarity(count, samples) - 0.85)
+        far = np.unique(np.concatenate([common[:500], rng.integers(0, 1 << 63, 400, np.uint64)]))
+        low += int(np.bitwise_count(s.view(np.uint64) ^ sign(far)[1].view(np.uint64)).sum()) > cut  # similarity about 0.38
+    assert abs(np.mean(off)) < 0.01 and np.std(off) < 0.05 and low == 200
+
+
+def test_near_duplicates_of_a_family_that_shares_much(spark):
+    """Documents at a similarity of about 0.6 to each other, some with a near copy: only the copies are linked."""
+    rng = random.Random(9)
+    core = sentences(rng, 150).split()
+    texts = []
+    for i in range(60):
+        own = core + [f"own{i}x{k}" for k in range(45)]
+        texts.append(" ".join(own))
+        if i % 10 == 0:
+            texts.append(" ".join([*own, "end"]))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(table(spark, texts), threshold=0.85, small=2, block=8).collect()}
+    want = {i: i - 1 if t.endswith(" end") else i for i, t in enumerate(texts)}
+    assert got == want
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    """Null and equal ids: rows with a null id belong to their group and never name it."""
+    a, b = (sentences(random.Random(k), 30) for k in (1, 2))
+    rows = [(None, a), (4, a), (4, b), (9, b), (None, None), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None, "x", 1, "y") for i, t in rows], SCHEMA)
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(None, 4, False), (4, 4, True), (4, 4, True), (9, 4, False), (None, None, False), (7, 7, True)], key=str)
+
+
+def odd_docs(spark):
+    rows = [(None, "one two"), (3, "same"), (3, "same"), (3, "other"), (8, None), (9, "")]
+    return spark.createDataFrame([(i, t, "en", "s", None, "x", 1, "y") for i, t in rows], SCHEMA)
+
+
+def test_tokens_of_odd_tables(spark):
+    for docs, n in ((odd_docs(spark), 6), (table(spark, []), 0)):
+        path = new_path(spark, "t")
+        token_orc.write_tokens(docs, path, BYTE, end_id=2)
+        got = sorted(token_orc.token_table(spark, path).collect(), key=lambda r: r["start"])
+        assert len(got) == n and [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:k]) for k in range(n)]
+        assert [r["doc_id"] for r in got] == [None, 3, 3, 3, 8, 9][:n]
+        assert token_count.count_tokens(docs, BYTE).count() == n
+        packed = packing.pack(docs, WORD, room=2).collect()
+        assert sorted(str(r["doc_id"]) for r in packed if r["piece"] == 0) == ["3", "3", "3", "8", "9", "None"][:n]
+        spots = [(r["sequence_id"], r["offset"] + k) for r in packed for k in range(r["length"])]
+        assert len(spots) == len(set(spots))
+
+
+def test_orc_files_beyond_five_digits(spark):
+    names = ["part-99999-u-c000.zstd.orc", "part-100000-u-c000.zstd.orc", "part-00007-u-c001.zstd.orc", "part-00007-u-c000.zstd.orc"]
+    frame = spark.createDataFrame([(n,) for n in names], "name string")
+    assert [r["name"] for r in frame.orderBy(token_orc.file_number(F.col("name"))).collect()] == [names[3], names[2], names[0], names[1]]
+
+
+def test_orc_metadata_and_lookup(spark):
+    """Several stripes, a row index and Bloom filters are there; a lookup reads few rows of many."""
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.col("id"), F.sha2(F.col("id").cast("string"), 512)).alias("text"))
+    path = new_path(spark, "t")
+    token_orc.write_tokens(docs, path, BYTE, end_id=2, stripe_bytes=1 << 17)
+    found = token_orc.lookup(spark, path, [5, 39_999, 70_000])
+    assert sorted(r["doc_id"] for r in found.collect()) == [5, 39_999]
+    plan = found._jdf.queryExecution().executedPlan()
+    assert "PushedFilters: [In(doc_id, [" in plan.toString()
+    read = [m for m in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(found._jdf.queryExecution().executedPlan().collectLeaves())]
+    rows = sum(x.metrics().apply("numOutputRows").value() for x in read)
+    assert 2 <= rows <= 8_000
+    conf = spark._jsc.hadoopConfiguration()
+    orc, fs_path = spark._jvm.org.apache.orc, spark._jvm.org.apache.hadoop.fs.Path
+    root = fs_path(path)
+    stripes = indexes = 0
+    for status in root.getFileSystem(conf).listStatus(root):
+        if status.getPath().getName().endswith(".orc"):
+            reader = orc.OrcFile.createReader(status.getPath(), orc.OrcFile.readerOptions(conf))
+            stripes += reader.getStripes().size()
+            indexes += sum(reader.getStripes().get(k).getIndexLength() > 0 for k in range(reader.getStripes().size()))
+            assert reader.getRowIndexStride() == 1000
+    assert stripes > 4 and indexes == stripes
+
+
 def test_packing(spark, texts):
     from tokenizers import Tokenizer
 
@@ -386,6 +508,34 @@ def test_langid(spark):
     assert {r["lang_pred"] for r in langid.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_langid_against_brute_force(spark, monkeypatch):
+    """Log-probabilities, priors and posteriors as counted one n-gram at a time."""
+    import math
+
+    rows = [(0, "ab", "x"), (1, "Ab cc", "x"), (2, "bca", "y"), (3, "q", None), (4, "zz top", "z"), (5, "abc", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def grams(t, buckets):
+        pair, triple, _, _ = langid._grams([t], buckets)
+        return [*pair.tolist(), *triple.tolist()]
+
+    for buckets, most in ((langid.BUCKETS, langid.MOST_CELLS), (8, 24)):  # the second: fewer buckets for want of cells
+        monkeypatch.setattr(langid, "MOST_CELLS", most)
+        langs, logp, priors = langid.train(docs)
+        assert langs == ["x", "y", "z"] and logp.shape == (buckets, 3)
+        count = {k: Counter(g for _, t, x in rows if x == k for g in grams(t, buckets)) for k in langs}
+        assert priors == pytest.approx([math.log(3 / 5), math.log(1 / 5), math.log(1 / 5)])
+        for k, c in enumerate(count.values()):
+            for g in range(min(buckets, 300)):
+                assert logp[g, k] == pytest.approx(math.log((c[g] + 0.5) / (sum(c.values()) + 0.5 * buckets)), rel=1e-5)
+        got = {r["doc_id"]: r for r in langid.predict(docs, (langs, logp, priors)).collect()}
+        for i, t, _ in rows:
+            z = [p + sum(float(logp[g, k]) for g in grams(t, buckets)) for k, p in enumerate(priors)]
+            best = max(range(3), key=z.__getitem__)
+            assert got[i]["lang_pred"] == langs[best]
+            assert got[i]["score"] == pytest.approx(1 / sum(math.exp(v - z[best]) for v in z), rel=1e-6)
+
+
 def test_gram_counts(spark):
     docs = spark.createDataFrame([(0, "ab", "x"), (1, "ab c", "x"), (2, None, "x"), (3, "q", None)], "doc_id long, text string, lang string")
     want = Counter()
@@ -395,6 +545,46 @@ def test_gram_counts(spark):
     assert {r["bucket"]: r["n"] for r in langid.count_grams(docs).collect()} == dict(want)
 
 
+def test_toxicity_gradient_and_noisy_or():
+    """On tiny bags the fit lowers the loss that is summed sentence by sentence, to where no single weight lowers it further; scores are that noisy-or."""
+    import math
+
+    import numpy as np
+
+    docs = [[[1, 2], [3]], [[2], [4, 4]], [[3, 1], [2]], [[4], [1]], [[2, 3]], [[4, 3], [2]]]
+    labels = [0, 1, 0, 1, 0, 1]
+    flat, offsets = [], [0]
+    for d in docs:
+        for k, sentence in enumerate(d):
+            flat += ([-2] if k else []) + sentence
+        offsets.append(len(flat))
+
+    def loss(w):
+        total = 0.0
+        for d, y in zip(docs, labels, strict=True):
+            clean = math.prod(1 - 1 / (1 + math.exp(-(w[-1] + sum(w[x] for x in s)))) for s in d)
+            total -= math.log(1 - clean if y else clean) / len(docs)
+        return total + 0.01 * sum(abs(w[x]) for x in range(1, 5))
+
+    w = toxicity.fit(np.array(labels, bool), np.array(flat, np.int32), np.array(offsets, np.int64), l1=0.01, rounds=4000, rate=0.05, least_docs=1).astype(float)
+    best = loss(w)
+    for x in (1, 2, 3, 4, -1):
+        for step in (0.05, -0.05):
+            v = w.copy()
+            v[x] += step
+            assert loss(v) > best - 1e-3
+    scorer = toxicity.Scorer(w)
+    z = scorer.sentences("Bad word. good\nend")[0]
+    assert scorer.score("Bad word. good\nend") == pytest.approx(1 - math.prod(1 - 1 / (1 + math.exp(-x)) for x in z))
+
+
+def test_toxicity_of_empty_tables(spark):
+    nothing, rated = table(spark, []), spark.createDataFrame([], "doc_id long, toxic int")
+    weights = toxicity.train(nothing, rated)
+    assert toxicity.score(nothing, weights).collect() == [] and toxicity.filter_toxic(nothing, weights).collect() == []
+    assert [r["predicted"] for r in toxicity.score(odd_docs(spark), weights).collect()] == [0] * 6
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     texts, rated = [], []

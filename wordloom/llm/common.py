@@ -1,39 +1,13 @@
-"""What the operators share: the shared folder, materialised tables, folds."""
+"""What the operators share: folds, batches, bitmaps for map-side choices."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIRS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where
-    that is unset (local tests) a temporary folder of this application."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIRS:
-        _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="wordloom-")
-    return _OWN_DIRS[app]
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/wordloom/{tag}-{uuid.uuid4().hex}"
-
+from ..storage import materialise, new_path
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again. It cuts the lineage,
-    survives lost executors, and later passes can prune its columns."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["batched", "bitmap", "bitmap_slot", "documents", "fold", "labels", "marked", "materialise", "new_path", "slices", "split_marked", "utf8"]
 
 
 def fold(id_col: str, modulus: int) -> Column:
