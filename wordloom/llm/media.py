@@ -21,7 +21,7 @@ from __future__ import annotations
 import uuid
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batched, bitmap, bitmap_slot, marked, materialise, slices, utf8
@@ -206,63 +206,60 @@ def drop_strays(folder: str, index: DataFrame) -> None:
             fs.delete_file(info.path)
 
 
-def _by_shard(index: DataFrame, read, schema: str, block: int = 1 << 20) -> DataFrame:
-    """Rows are dealt by blocks of a shard, so that a large shard isn't one task's."""
-    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = index.repartition(parts, "shard", F.floor(F.col("offset") / block))
-    return batched(dealt.sortWithinPartitions("shard", "offset")).mapInArrow(read, schema)
+INDEX = "digest string, shard string, offset long, length long"
+HEADS = f"{INDEX}, width int, height int, bits int"
+STORED = f"{HEADS}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def header_columns(spark: SparkSession, index: DataFrame, folder: str) -> DataFrame:
-    """digest, width, height, bits: from range reads of the headers alone."""
+def _reader(folder: str, columns, kinds):
+    """For mapInArrow over index rows that are sorted by place: adds what ``columns`` gives for (open file, offset, length)."""
 
     def read(batches):
         import pyarrow as pa
 
         fs, root = open_fs(folder)
+        name = source = None
         for batch in batches:
-            rows, name, source = [], None, None
-            for shard, offset in zip(batch.column("shard").to_pylist(), batch.column("offset").to_pylist(), strict=True):
+            rows = []
+            for shard, offset, length in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length")), strict=True):
                 if shard != name:
                     name, source = shard, fs.open_input_file(f"{root}/{shard}")
-                rows.append(header(source.read_at(HEADER, offset)))
-            columns = [pa.array(c, pa.int32()) for c in (list(zip(*rows, strict=True)) or [()] * 3)]
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), *columns], ["digest", "width", "height", "bits"])
+                rows.append(columns(source, offset, length))
+            added = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            arrays = [pa.array(c, getattr(pa, kind)()) for c, kind in zip(added, kinds.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *kinds])
 
-    return _by_shard(index, read, "digest string, width int, height int, bits int")
+    return read
 
 
-def stored_columns(index: DataFrame, folder: str) -> DataFrame:
-    """Per digest, from the stored bytes read back: sums of payload and stored form, feature."""
-    schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, shard string, offset long, length long"
+def header_columns(index: DataFrame, folder: str, block: int = 1 << 18) -> DataFrame:
+    """The index with width, height, bits, from range reads of the headers alone. Rows are dealt by blocks
+    of a shard, so that a large shard isn't one task's, and sorted by place."""
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = index.repartition(parts, "shard", F.floor(F.col("offset") / block)).sortWithinPartitions("shard", "offset")
+    read = _reader(folder, lambda source, offset, length: header(source.read_at(HEADER, offset)), {"width": "int32", "height": "int32", "bits": "int32"})
+    return batched(dealt).mapInArrow(read, HEADS)
 
-    def read(batches):
-        import hashlib
 
-        import pyarrow as pa
+def stored_columns(heads: DataFrame, folder: str) -> DataFrame:
+    """``header_columns`` with what the stored bytes, read back, give: sums of payload and stored form, feature."""
 
-        fs, root = open_fs(folder)
-        name = source = None
-        fields = pa.schema([("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
-        for batch in batches:
-            rows = []
-            for digest, shard, offset, length in zip(*(batch.column(c).to_pylist() for c in ("digest", "shard", "offset", "length")), strict=True):
-                if shard != name:
-                    name, source = shard, fs.open_input_file(f"{root}/{shard}")
-                media = source.read_at(length, offset)
-                payload = decode_png(media)
-                rows.append((digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), length, hashlib.sha256(media).hexdigest(), feature(payload), shard, offset, length))
-            columns = list(zip(*rows, strict=True)) or [()] * len(fields)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+    def sums(source, offset: int, length: int):
+        import hashlib
+
+        media = source.read_at(length, offset)
+        payload = decode_png(media)
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), length, hashlib.sha256(media).hexdigest(), feature(payload)
 
-    return _by_shard(index, read, schema)
+    kinds = {"payload_bytes": "int64", "payload_sha256": "string", "tail_crc32": "int64", "media_bytes": "int64", "media_sha256": "string", "feature": "string"}
+    return batched(heads).mapInArrow(_reader(folder, sums, kinds), STORED)
 
 
 def media_columns(docs: DataFrame, folder: str, id_col="doc_id", text_col="text", shard_bytes: int = 64 << 20) -> DataFrame:
     """id, n_bytes, digest, shard, offset, length, the columns of ``header_columns`` (from range reads of headers alone)
     and those of ``stored_columns``, one row per document."""
     index, again = write_shards(docs, folder, text_col, shard_bytes)
-    stored = materialise(stored_columns(index, folder).join(header_columns(docs.sparkSession, index, folder), "digest"), "stored")
+    stored = materialise(stored_columns(header_columns(index, folder), folder), "stored")
     keyed = docs.select(F.col(id_col).cast("long").alias(id_col), F.octet_length(utf8(text_col)).cast("long").alias("n_bytes"), F.unhex(payload_digest(text_col)).alias("raw"))
     stored = stored.withColumn("raw", F.unhex("digest"))
     often = F.broadcast(again.where(F.col("n") * HEAVY > docs.count()).select("key"))  # fewer than HEAVY rows
