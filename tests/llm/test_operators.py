@@ -137,14 +137,14 @@ def test_media_headers_and_odd_tables(spark, monkeypatch):
     folder = new_path(spark, "m")
     index, again = media.write_shards(table(spark, texts), folder, shard_bytes=20_000)
     assert {r["n"] for r in again.collect()} == {2, 40}
-    heads = {r["digest"]: r for r in media.header_columns(spark, index, folder).collect()}
+    heads = {r["digest"]: r for r in media.header_columns(index, folder).collect()}
     docs = table(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") != 2, F.col("doc_id")))
     got = media.media_columns(docs, new_path(spark, "m")).collect()
     assert len(got) == len(texts) and [r["doc_id"] for r in got].count(None) == 1
     for r in got:
         t = texts[2 if r["doc_id"] is None else r["doc_id"]] or ""
         assert r["payload_sha256"] == hashlib.sha256(media.padded(t.encode())).hexdigest()
-        assert (r["width"], r["height"], r["bits"]) == tuple(heads[r["digest"]])[1:] and r["width"] * r["height"] == r["payload_bytes"] and r["width"] <= 65_536
+        assert (r["width"], r["height"], r["bits"]) == tuple(heads[r["digest"]][c] for c in ("width", "height", "bits")) and r["width"] * r["height"] == r["payload_bytes"] and r["width"] <= 65_536
     assert media.media_columns(table(spark, []), new_path(spark, "m")).collect() == []
 
 
@@ -157,7 +157,7 @@ def test_header_columns_read_headers_alone(spark, tmp_path):
         with open(f"{tmp_path}/shards/{r['shard']}", "r+b") as f:
             f.seek(r["offset"] + media.HEADER)
             f.write(b"\xff" * (r["length"] - media.HEADER))
-    assert sorted(r["width"] * r["height"] for r in media.header_columns(spark, index, folder).collect()) == [64, 512]
+    assert sorted(r["width"] * r["height"] for r in media.header_columns(index, folder).collect()) == [64, 512]
 
 
 def test_sketches_estimate_similarity():
