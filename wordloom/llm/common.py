@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise, new_path
 
-__all__ = ["batched", "bitmap", "bitmap_slot", "documents", "fold", "labels", "marked", "materialise", "new_path", "slices", "split_marked", "utf8"]
+__all__ = ["batched", "bitmap", "bitmap_slot", "documents", "fold", "give_back", "labels", "marked", "materialise", "new_path", "slices", "split_marked", "utf8"]
 
 
 def fold(id_col: str, modulus: int) -> Column:
@@ -39,6 +39,18 @@ def batched(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Return memory that is free in this worker to the system, so that idle workers hold little."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def slices(batches, rows: int = 512, chars_col: str = "text", chars: int = 16_000_000):
     """Cut Arrow batches into slices of at most ``rows`` rows and about ``chars``
     bytes of text, so that a worker's memory doesn't grow with the batch."""
@@ -52,6 +64,7 @@ def slices(batches, rows: int = 512, chars_col: str = "text", chars: int = 16_00
                 part = part.slice(0, part.num_rows // 2)
             yield part
             start += part.num_rows
+    give_back()
 
 
 BITMAP_BITS = 1 << 25

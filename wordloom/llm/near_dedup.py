@@ -94,7 +94,7 @@ class Shingler:
 
     def __init__(self, words: int):
         self.words = words
-        self.cache = _Cache(_word_hash, 200_000)
+        self.cache = _Cache(_word_hash, 50_000)
 
     def __call__(self, text: str | None):
         import numpy as np

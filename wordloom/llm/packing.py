@@ -23,19 +23,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batched, materialise, slices
+from .common import batched, give_back, materialise, slices
 from .pieces import WordIds, made
 
 SALTS = 64
 
 
-def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int, room: int, id_col: str, text_col: str) -> DataFrame:
+def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int, room: int, id_col: str, text_col: str, lean: bool = False) -> DataFrame:
     def run(batches):
         import zlib
 
         import pyarrow as pa
 
-        encode, end = made(WordIds, tokenizer).many, end_id.to_bytes(4, "little")
+        encoder, end = made(WordIds, tokenizer), end_id.to_bytes(4, "little")
+        encode = encoder.many
         for part in slices(batches, 1000, chars=4_000_000):
             rows = []
             for d, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist()), strict=True):
@@ -45,6 +46,9 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int, room: int, id
                     rows.append((d, k, a // 4, len(own) // 4, zlib.crc32(own)))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        if lean:
+            encoder.forget()
+            give_back()
 
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return batched(thin).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -141,12 +145,13 @@ def slots(patterns):
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, room: int = 4096, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, room: int = 4096, id_col="doc_id", text_col="text", lean: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece.
+    ``lean``: workers empty their caches of pieces after each task, for jobs that go on with other work."""
     import numpy as np
 
     spark = docs.sparkSession
-    pieces = tokenised_pieces(docs, tokenizer, end_id, room, id_col, text_col)
+    pieces = tokenised_pieces(docs, tokenizer, end_id, room, id_col, text_col, lean)
     pieces = materialise(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")), "pieces")
     # at most room * SALTS rows
     cells = materialise(pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "cells")

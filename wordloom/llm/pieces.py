@@ -113,6 +113,10 @@ class _Cache(dict):
         super().__init__()
         self.make, self.limit, self.old, self.trial = make, limit, {}, {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.trial = {}, {}
+
     def __missing__(self, piece):
         value = self.trial.pop(piece, None)
         if value is None:
@@ -139,7 +143,7 @@ class BytePieces:
 
     def __init__(self, of_token, join):
         self.of_token, self.join = of_token, join
-        self.tokens = _Cache(of_token, 100_000)
+        self.tokens = _Cache(of_token, 50_000)
         self.inner = _Cache(self._inner)
 
     def _inner(self, piece: str):
@@ -197,8 +201,13 @@ class WordIds(_Library):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.tokens = _Cache(self.of_token, 100_000)
-        self.words = _Cache(self._word)
+        self.tokens = _Cache(self.of_token, 50_000)
+        self.words = _Cache(self._word, 120_000)
+
+    def forget(self) -> None:
+        """Empty the caches."""
+        for cache in (self.tokens, self.words):
+            cache.forget()
 
     def _word(self, word: str) -> bytes:
         if word.isalpha():

@@ -62,7 +62,7 @@ def sample_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     def run(batches):
         import pyarrow as pa
 
-        slot = _Cache(word_slot)
+        slot = _Cache(word_slot, 50_000)
         for part in slices(batches, 64, chars=2_000_000):
             rows = []
             for t in part.column("text").to_pylist():
@@ -155,8 +155,8 @@ class Scorer:
     def __init__(self, weights):
         w = weights.tolist()
         self.bias = w[-1]
-        self.weight = _Cache(lambda p: w[s] if (s := word_slot(p)) >= 0 else 0.0)
-        self.ends = _Cache(_is_end)
+        self.weight = _Cache(lambda p: w[s] if (s := word_slot(p)) >= 0 else 0.0, 50_000)
+        self.ends = _Cache(_is_end, 20_000)
 
     def sentences(self, text: str):
         """(logits, number of pieces in each sentence)"""
