@@ -163,6 +163,17 @@ def test_a_hub_does_not_multiply(spark):
     assert [tuple(x) for x in got.collect()] == [("a7", "c9")]
 
 
+@pytest.mark.parametrize("seed, cycles", [(1, False), (2, False), (3, True)])
+def test_two_hop_without_nodes_is_the_same(spark, seed, cycles, monkeypatch):
+    monkeypatch.setattr(r, "FEW_STEPS", 2)  # both ways of expanding
+    rng = random.Random(seed)
+    given = [(rng.randrange(16), rng.randrange(16)) for _ in range(60)]
+    given = given if cycles else [(min(p), max(p)) for p in given]  # repeated edges and self-loops stay among them
+    longs = spark.createDataFrame(given, "source long, target long")
+    got = [(str(a), str(b)) for a, b in pairs(r.transitive_reduction(None, longs))]
+    assert sorted(got) == reduce(spark, given)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_properties_of_random_graphs(spark, seed):
     rng = random.Random(seed)

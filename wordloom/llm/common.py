@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..marks import BITMAP_BITS, bitmap_slot, bitmap_words
 from ..storage import materialise, new_path
 
 __all__ = ["batched", "bitmap", "bitmap_slot", "documents", "fold", "give_back", "labels", "marked", "materialise", "new_path", "slices", "split_marked", "utf8"]
@@ -67,19 +68,6 @@ def slices(batches, rows: int = 512, chars_col: str = "text", chars: int = 16_00
     give_back()
 
 
-BITMAP_BITS = 1 << 25
-
-
-def bitmap_slot(*columns: str) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(BITMAP_BITS))
-
-
-def bitmap_words(keys: DataFrame, column: str) -> DataFrame:
-    """word, mask: the 32-bit words of the bitmap that have a bit set, at most BITMAP_BITS / 32 rows."""
-    slots = keys.select(bitmap_slot(column).alias("slot")).groupBy(F.expr("slot div 32").alias("word"))
-    return slots.agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 32 as int))")).alias("mask"))
-
-
 def bitmap(keys: DataFrame, column: str):
     """A bitmap (4 MB, whatever the size of ``keys``) of the hashed values of a column, for
     map-side choices that may let too much through but never too little."""

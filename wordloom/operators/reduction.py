@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..marks import with_mark
 from ..storage import materialise
 
 #: A trimmed core of at most so many distinct edges is labelled on the driver (about 30 MB); a larger one by rounds.
 CORE_EDGES = 200_000
+#: A start with at most so many steps has its edges expanded ahead, whatever the other end's degree.
+FEW_STEPS = 8
 
 
 def _core_labels(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
@@ -78,17 +81,19 @@ def _spread(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         mark = now
 
 
-def scc(nodes: DataFrame, edges: DataFrame, core_edges: int = CORE_EDGES) -> DataFrame:
-    """id, scc_id (the least id of the component). What is left of the edges is labelled on the
+def cyclic(edges: DataFrame, core_edges: int = CORE_EDGES) -> DataFrame | None:
+    """id, scc_id (the least id of the component) of all vertices on cycles and perhaps of some others; None if no edge is
+    left. What is left of the edges is labelled on the
     driver if its size allows, else it is trimmed and coloured: the least label spreads forward, then backward from
     each colour's root inside the colour; what is reached is a component, and the rest goes on."""
-    spark = nodes.sparkSession
+    spark = edges.sparkSession
     pairs = edges.where("source != target").select(F.col("source").alias("a"), F.col("target").alias("b")).distinct()
     pairs = materialise(pairs, "pairs")
+    kind = pairs.schema["a"].dataType.simpleString()
     found = None
     while not pairs.isEmpty():
         if pairs.limit(core_edges + 1).count() <= core_edges:
-            new = spark.createDataFrame(_core_labels([tuple(r) for r in pairs.collect()]), "id string, scc_id string")
+            new = spark.createDataFrame(_core_labels([tuple(r) for r in pairs.collect()]), f"id {kind}, scc_id {kind}")
             found = new if found is None else found.unionByName(new)
             break
         pairs = _trim(pairs)
@@ -103,6 +108,12 @@ def scc(nodes: DataFrame, edges: DataFrame, core_edges: int = CORE_EDGES) -> Dat
         gone = back.select("id")
         pairs = pairs.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b")
         pairs = materialise(pairs, "pairs")
+    return found
+
+
+def scc(nodes: DataFrame, edges: DataFrame, core_edges: int = CORE_EDGES) -> DataFrame:
+    """id, scc_id (the least id of the component)."""
+    found = cyclic(edges, core_edges)
     if found is None:
         return nodes.select("id", F.col("id").alias("scc_id"))
     return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("scc_id", "id").alias("scc_id"))
@@ -178,12 +189,49 @@ def bypassed(dag: DataFrame, full: bool) -> DataFrame:
     return gone.select(*names)
 
 
-def transitive_reduction(nodes: DataFrame, edges: DataFrame, mode: str = "two_hop", labels: DataFrame | None = None) -> DataFrame:
+def _acyclic_two_hop(edges: DataFrame) -> DataFrame | None:
+    """source, target: the edges without those that a path of exactly two steps replaces; None if the graph has cycles.
+
+    A path's middle has an in- and an out-edge. Bitmaps choose the edges that end in a middle, start in one or could be
+    replaced, so what is shuffled is those and not every edge for every join; exact joins decide."""
+    edges = edges.where("source != target")
+    ends = edges.select(F.col("source").alias("v")).distinct(), edges.select(F.col("target").alias("v")).distinct()
+    middles = materialise(ends[0].join(ends[1], "v", "left_semi"), "middles", clean=True)
+    of = lambda end: middles.select(F.col("v").alias(end))
+    first = with_mark(edges, ("target",), of("target"), "hit__").where("hit__").drop("hit__")
+    first = materialise(first.join(of("target"), "target", "left_semi").select("source", "target"), "first", clean=True)
+    last = with_mark(edges, ("source",), of("source"), "hit__").where("hit__").drop("hit__")
+    found = cyclic(first.join(of("source"), "source", "left_semi"))
+    if found is not None and not found.where("id != scc_id").isEmpty():
+        return None
+    step, last = first.distinct().select(F.col("source").alias("a"), F.col("target").alias("b")), materialise(last, "last", clean=True)
+    open_ = with_mark(edges, ("source",), first.select("source"), "hit__").where("hit__").drop("hit__")
+    open_ = with_mark(open_, ("target",), last.select("target"), "hit__").where("hit__").select(F.col("source").alias("a"), F.col("target").alias("c"))
+    last = last.select(F.col("source").alias("b"), F.col("target").alias("c"))
+    steps = step.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    few = step.join(steps.where(F.col("n") <= FEW_STEPS), "a", "left_semi")
+    gone = materialise(open_.join(few, "a").join(last, ["b", "c"], "left_semi").select("a", "c").distinct(), "bypassed", clean=True)
+    many = materialise(steps.where(F.col("n") > FEW_STEPS).select("a"), "many", clean=True)
+    if not many.isEmpty():  # these from the end of lower degree
+        rest = _by_one_step(open_.join(many, "a", "left_semi").distinct(), step.select(F.col("a").alias("scc_from"), F.col("b").alias("scc_to")).union(last).distinct())
+        gone = gone.unionByName(materialise(rest, "bypassed", clean=True))
+    gone = gone.select(F.col("a").alias("source"), F.col("c").alias("target"))
+    parted = with_mark(edges, ("source", "target"), gone, "hit__")
+    return parted.where("hit__").drop("hit__").join(gone, ["source", "target"], "left_anti").unionByName(parted.where("not hit__").drop("hit__"))
+
+
+def transitive_reduction(nodes: DataFrame | None, edges: DataFrame, mode: str = "two_hop", labels: DataFrame | None = None) -> DataFrame:
     """source, target: all edges inside components of two nodes or more, and all edges between
     components whose condensed pair isn't bypassed. ``two_hop`` looks at paths of two condensed
-    steps only; ``full`` at paths of any length. Repetitions stay; self-loops of single nodes go."""
+    steps only; ``full`` at paths of any length. Repetitions stay; self-loops of single nodes go.
+    ``nodes`` None: the ends of the edges; then give edges that are cheap to read more than once."""
     if mode not in ("two_hop", "full"):
         raise ValueError(mode)
+    edges = edges.select("source", "target")
+    if nodes is None:
+        if mode == "two_hop" and labels is None and (out := _acyclic_two_hop(edges)) is not None:
+            return out
+        nodes = edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct()
     labels = materialise(labels if labels is not None else scc(nodes, edges), "scc")
     condensed = materialise(condense(edges, labels), "condensed")
     large = labels.groupBy("scc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("scc_id").alias("scc_from"))

@@ -9,7 +9,7 @@ user in a block.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -44,12 +44,23 @@ def handoffs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return e.select("id").distinct(), edges
 
 
-def parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges): order to part (first line only), part to supplier, order to supplier."""
+#: First letters of the parts graph's vertices: order, part, supplier.
+PART_KINDS = "ops"
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct edges: order to part (first line only), part to supplier, order to supplier. A vertex is one long, its key
+    times 4 and its kind's place; as text the edges would take three times the disk. Keys must be below 2^61."""
     l = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-    o, p, s = (F.concat(F.lit(c), F.col(k).cast("string")) for c, k in (("o", "l_orderkey"), ("p", "l_partkey"), ("s", "l_suppkey")))
-    edges = l.where("l_linenumber = 1").select(o.alias("source"), p.alias("target")).union(l.select(p, s)).union(l.select(o, s)).distinct().withColumn("pos", F.lit(0).cast("long"))
-    return edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct(), edges
+    o, p, s = (F.col(k).cast("long") * 4 + i for i, k in enumerate(("l_orderkey", "l_partkey", "l_suppkey")))
+    edges = l.where("l_linenumber = 1").select(o.alias("source"), p.alias("target")).union(l.select(p, s)).union(l.select(o, s))
+    return edges.repartition("source").distinct().sortWithinPartitions("source", "target")  # a source's edges lie together, which packs well
+
+
+def part_name(vertex: str) -> Column:
+    """The vertex as text: "o", "p" or "s" and the key."""
+    kind = F.substring(F.lit(PART_KINDS), F.col(vertex).bitwiseAND(F.lit(3)).cast("int") + 1, F.lit(1))
+    return F.concat(kind, F.shiftright(vertex, 2).cast("string"))
 
 
 def click_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,6 +174,13 @@ def url_change_log(spark, sf):
     return present.url_changes(present.with_urls(b.click_log(spark, sf)), "event_id", "user_id").select("event_id", "user_id", "url")
 
 
+def tr_two_hop_parts(spark: SparkSession, sf: str) -> DataFrame:
+    edges = materialise(b.parts(spark, sf), "edges", clean=True)
+    loose = edges.where("source is null or target is null")  # no path has them, so they stay
+    out = r.transitive_reduction(None, edges, "two_hop").unionByName(loose)
+    return out.select(*(b.part_name(end).alias(end) for end in ("source", "target")))
+
+
 QUERIES = {
     "node_projection": lambda s, d: _doc(s, d)[0],
     "edge_orientation": lambda s, d: _doc(s, d)[1].select("source", "target"),
@@ -204,7 +211,7 @@ QUERIES = {
     "tr_full": _tr(_doc_dedup, "full"),
     "tr_two_hop_handoff": _tr(b.handoffs, "two_hop"),
     "tr_full_handoff": _tr(b.handoffs, "full"),
-    "tr_two_hop_parts": _tr(b.parts, "two_hop"),
+    "tr_two_hop_parts": tr_two_hop_parts,
     "refine_pipeline": refine_pipeline,
     "neighborhood": neighborhood,
     "node_url": lambda s, d: present.with_urls(_doc(s, d)[0]).select("id", "name", "url"),

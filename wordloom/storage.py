@@ -27,10 +27,22 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/wordloom/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+#: Spark then removes the shuffle files of a query as soon as it has ended, not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise(df: DataFrame, tag: str, clean: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it again. It cuts the lineage,
-    survives lost executors, and later passes can prune its columns."""
+    survives lost executors, and later passes can prune its columns. With ``clean``
+    the shuffle files of the write are removed at once; the session's setting is put back."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    if clean:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if clean:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
