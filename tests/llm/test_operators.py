@@ -194,6 +194,47 @@ def test_near_duplicates_of_a_family_that_shares_much(spark):
     assert got == want
 
 
+def test_rare_shingles_name_every_link_between_components(spark):
+    rng = random.Random(5)
+    base, rows = list(range(60)), []
+    for i in range(120):  # component 0 has ten members, and shingles of its own that they share
+        own = rng.sample(base, rng.randrange(50, 60)) + [1000 + i] + ([900, 901] if i < 10 else [])
+        rows.append((i, 0 if i < 10 else i, own))
+    members = spark.createDataFrame([r[:2] for r in rows], "rep long, at long")
+    sets = spark.createDataFrame([(r[0], r[2]) for r in rows], "id long, set array<long>")
+    links = {(a, b) for a, x, s in rows for b, y, t in rows if x < y and 100 * len({*s} & {*t}) >= 85 * len({*s} | {*t})}
+    assert len(links) > 100
+    for top in (8, 1024):  # some frequent shingles are joined with their frequency, or none
+        got = [tuple(r) for r in near_dedup.rarest(members, sets, 85, top).collect()]
+        names: dict = {}
+        for rep, at, bucket in got:
+            assert at == rows[rep][1]
+            names.setdefault(bucket, set()).add(rep)
+        assert all(any(a in g and b in g for g in names.values()) for a, b in links)
+        assert all(bucket < 900 for bucket in names)  # what one component has alone joins nothing and isn't returned
+
+
+def test_frequent_shingles_are_not_joined(spark):
+    """Rows that a join on shingles makes in a family: those of rare shingles, not of all."""
+    members = spark.range(400).selectExpr("id as rep", "id as at")
+    sets = spark.range(400).selectExpr("id", "concat(sequence(0L, 99L), array(1000 + id div 2)) as set")
+    found = near_dedup.rarest(members, sets, 85, 100)
+    assert {tuple(r)[2] for r in found.collect()} >= {1000, 1199}
+    as_java = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava
+    made, todo = [], [found._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif "Join [g#" in node.simpleString(99):
+            made.append(node.metrics().apply("numOutputRows").value())
+        todo.extend(list(as_java(node.children())))
+    assert made == [400]
+
+
 def test_near_duplicates_of_odd_rows(spark):
     """Null and equal ids: rows with a null id belong to their group and never name it."""
     a, b = (sentences(random.Random(k), 30) for k in (1, 2))

@@ -15,7 +15,7 @@
    by alternating large-star and small-star steps.
 5. Members of large buckets that are not all of one component then are joined by
    an exact prefix filter: of each set the rarest shingles, as many that two sets
-   at the threshold share one, name groups. Families that share much but not
+   of different components at the threshold share one, name groups. Families that share much but not
    enough have rare shingles of their own and fall apart there, so work grows with
    members. Small groups give pairs as before.
 6. Groups that are still large and of several components are joined into
@@ -261,17 +261,26 @@ def joining_links(table, percent: int, far: int):
     return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
 
-def rarest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def rarest(members: DataFrame, sets: DataFrame, percent: int, top: int = 1024) -> DataFrame:
     """rep, at, bucket: of each member's set the shingles that are rarest among the members, as many that two
-    sets that meet the threshold have one of them in common."""
-    every = members.join(sets, F.col("rep") == F.col("id")).select("rep", F.explode("set").alias("g"))
-    often = every.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.sort_array(F.collect_list(F.struct("n", "g")))["g"].alias("ranked")
-    # a shingle that one member has alone joins nothing, but takes its place among the rarest
-    ranked = every.join(often, "g").groupBy("rep").agg(rank)
-    needed = F.size("ranked") - F.ceil(F.size("ranked") * F.lit(percent) / 100).cast("int") + 1
-    first = ranked.select("rep", F.explode(F.slice("ranked", F.lit(1), needed)).alias("bucket"))
-    return first.join(members, "rep").select("rep", "at", "bucket")
+    sets of different components that meet the threshold have one of them in common.
+
+    The order is the same for all sets: first the shingles of one component alone, which join nothing and just take
+    their places; then by frequency. The ``top`` most frequent ones, which are most of a large family's rows, are
+    found in each set by one short list, so that only the rows of the others are joined with their frequencies."""
+    own = members.join(sets, F.col("rep") == F.col("id")).select("rep", "at", "set", F.xxhash64("set").alias("k"))
+    own = own.dropDuplicates(["rep", "k"])  # rows with equal ids may have different sets
+    often = own.select("at", F.explode("set").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    often = materialise(often.where("lo != hi").select("g", "n"), "often")
+    by_rank = F.sort_array(F.collect_list(F.struct("n", "g")))["g"]
+    last = often.orderBy(F.desc("n"), F.desc("g")).limit(top).agg(by_rank.alias("last"))
+    own = own.crossJoin(F.broadcast(last))  # one row
+    rest = own.select("rep", "k", F.explode(F.array_except("set", "last")).alias("g"))
+    rest = rest.join(often, "g").groupBy("rep", "k").agg(by_rank.alias("ranked"))
+    ranked = F.concat(F.coalesce("ranked", F.array().cast("array<long>")), F.array_intersect("last", "set"))
+    own = own.join(rest, ["rep", "k"], "left").select("rep", "at", F.size("set").alias("n"), ranked.alias("ranked"))
+    needed = F.size("ranked") - F.ceil(F.col("n") * F.lit(percent) / 100).cast("int") + 1  # the others of n come before
+    return own.select("rep", "at", F.explode(F.slice("ranked", F.lit(1), F.greatest(F.lit(0), needed))).alias("bucket")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", threshold: float = 0.8, words: int = 5, rows: int = 5, miss: float = 1e-7, small: int = 24, block: int = 256, room: int = 4000) -> DataFrame:
