@@ -235,6 +235,30 @@ def test_frequent_shingles_are_not_joined(spark):
     assert made == [400]
 
 
+def test_shingles_of_a_family_are_summed_before_they_are_rows(spark, monkeypatch):
+    """Counting makes a row for each shingle and run of members, not one for each member that has it."""
+    members = spark.range(0, 400, 1, 2).selectExpr("id as rep", "id as at")
+    sets = spark.range(0, 400, 1, 2).selectExpr("id", "concat(sequence(0L, 99L), array(1000 + id div 2)) as set")
+    written, real = {}, near_dedup.materialise
+    monkeypatch.setattr(near_dedup, "materialise", lambda df, tag: real(written.setdefault(tag, df), tag))
+    near_dedup.rarest(members, sets, 85, 100).collect()
+    often = written["often"]
+    assert {tuple(r) for r in often.collect()} == {(g, 400) for g in range(100)} | {(1000 + k, 2) for k in range(200)}
+    as_java = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava
+    made, todo = 0, [often._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif kind in ("GenerateExec", "MapInArrowExec"):
+            made += node.metrics().apply("numOutputRows" if kind == "GenerateExec" else "pythonNumRowsReceived").value()
+        todo.extend(list(as_java(node.children())))
+    assert 300 <= made < 400 * 101 / 5
+
+
 def test_near_duplicates_of_odd_rows(spark):
     """Null and equal ids: rows with a null id belong to their group and never name it."""
     a, b = (sentences(random.Random(k), 30) for k in (1, 2))

@@ -261,6 +261,37 @@ def joining_links(table, percent: int, far: int):
     return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
 
+def counted(own: DataFrame, room: int = 1 << 19) -> DataFrame:
+    """g, n, lo, hi: the shingles of ``own`` (at, set) with their number and their least and largest component, summed
+    over about ``room`` shingles at a time, so that what a family shares is one row for many members."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def table():
+            g, at = np.concatenate(shingles), np.concatenate(places)
+            order = np.lexsort((at, g))
+            g, at = g[order], at[order]
+            begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            end = np.append(begin[1:], len(g))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (g[begin], end - begin, at[begin], at[end - 1])], ["g", "n", "lo", "hi"])
+
+        shingles, places, held = [], [], 0
+        for batch in batches:
+            sets = batch.column("set")
+            shingles.append(sets.flatten().to_numpy())
+            places.append(np.repeat(batch.column("at").to_numpy(), sets.value_lengths().to_numpy()))
+            held += len(shingles[-1])
+            if held >= room:
+                yield table()
+                shingles, places, held = [], [], 0
+        if held:
+            yield table()
+
+    return batched(own.select("at", "set")).mapInArrow(run, "g long, n long, lo long, hi long")
+
+
 def rarest(members: DataFrame, sets: DataFrame, percent: int, top: int = 1024) -> DataFrame:
     """rep, at, bucket: of each member's set the shingles that are rarest among the members, as many that two
     sets of different components that meet the threshold have one of them in common.
@@ -270,7 +301,7 @@ def rarest(members: DataFrame, sets: DataFrame, percent: int, top: int = 1024) -
     found in each set by one short list, so that only the rows of the others are joined with their frequencies."""
     own = members.join(sets, F.col("rep") == F.col("id")).select("rep", "at", "set", F.xxhash64("set").alias("k"))
     own = own.dropDuplicates(["rep", "k"])  # rows with equal ids may have different sets
-    often = own.select("at", F.explode("set").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    often = counted(own).groupBy("g").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     often = materialise(often.where("lo != hi").select("g", "n"), "often")
     by_rank = F.sort_array(F.collect_list(F.struct("n", "g")))["g"]
     last = often.orderBy(F.desc("n"), F.desc("g")).limit(top).agg(by_rank.alias("last"))
