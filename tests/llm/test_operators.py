@@ -108,6 +108,38 @@ def test_token_orc(spark, texts):
         start += len(ids)
 
 
+def test_byte_ids_of_many_words_at_a_time():
+    from tokenizers import Tokenizer
+
+    library, encoder, calls = Tokenizer.from_file(BYTE), pieces.ByteIds(BYTE), []
+    model = encoder.model
+
+    class Counted:
+        def tokenize(self, text):
+            calls.append(text)
+            return model.tokenize(text)
+
+    encoder.model = Counted()
+    texts = [" ".join(f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzéßàÿ'[i // 100 % 10]}{'.' * (i % 3)}" for i in range(a, a + 500)) for a in (0, 250, 500)]
+    assert encoder.many(texts) == [pieces.pack(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert len(calls) < 30  # of 1,000 words
+
+
+def test_byte_ids_when_most_pieces_are_forgotten():
+    from tokenizers import Tokenizer
+
+    rnd, library = random.Random(3), Tokenizer.from_file(BYTE)
+    signs = [*"abstTS''.,%-(31éàß", "'s", "'ll", " ", " ", "\n", " the", "\x00", "日", "×", "  ", "<|endoftext|>"]
+    texts = [None, "", *("".join(rnd.choices(signs, k=rnd.randint(1, 25))) for _ in range(3000))]
+    wanted = [pieces.pack(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    for together in (1, 7):
+        encoder = pieces.ByteIds(BYTE, limit=200, together=together)
+        assert [x for a in range(0, len(texts), 100) for x in encoder.many(texts[a : a + 100])] == wanted
+        assert len(encoder.known) <= 200
+    encoder.apart = None  # a vocabulary without a byte that no merge has
+    assert encoder.many(texts) == wanted
+
+
 def test_token_counts(spark, texts):
     from tokenizers import Tokenizer
 

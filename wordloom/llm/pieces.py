@@ -81,21 +81,30 @@ def gathered(values: list[bytes], at, bounds):
 
     flat = np.frombuffer(b"".join(values), "<u4")
     size = np.fromiter(map(len, values), np.int64, len(values)) // 4
-    begin = np.cumsum(size) - size
-    n = size[at]
-    upto = np.concatenate([[0], np.cumsum(n)])
-    from_ = np.repeat(begin[at] - upto[:-1], n)
-    from_ += np.arange(len(from_))
-    return flat[from_], upto[bounds]
+    ids, upto = ranges(flat, np.cumsum(size) - size, size, at)
+    return ids, upto[bounds]
 
 
-def ids_of_many(texts, safe, cut, value, whole):
+def ranges(flat, begin, size, at, block: int = 1 << 17):
+    """(the ranges ``at`` of ``flat``, one after the other; where each begins and ends), made a block of ranges at a time."""
+    import numpy as np
+
+    upto = np.concatenate([[0], np.cumsum(size[at])])
+    out = np.empty(upto[-1], flat.dtype)
+    for a in range(0, len(at), block):
+        some, to = at[a : a + block], upto[a : a + block + 1]
+        from_ = np.repeat(begin[some] - to[:-1], size[some])
+        from_ += np.arange(to[0], to[-1])
+        out[to[0] : to[-1]] = flat[from_]
+    return out, upto
+
+
+def ids_of_many(texts, safe, by_pieces, whole):
     """For each text the bytes of its ids: safe texts by pieces, all at once, others whole."""
     out = [b""] * len(texts)
     own = [i for i, t in enumerate(texts) if t and safe(t)]
     if own:
-        pieces, at, bounds = by_piece([texts[i] for i in own], cut)
-        ids, ends = gathered([value(p) for p in pieces], at, bounds)
+        ids, ends = by_pieces([texts[i] for i in own])
         raw, ends = ids.tobytes(), (ends * 4).tolist()
         for i, a, b in zip(own, ends[:-1], ends[1:], strict=True):
             out[i] = raw[a:b]
@@ -185,15 +194,149 @@ class _Library:
         return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
 
+def token_cut(texts):
+    """Safe, non-empty texts -> (Arrow strings that are one pre-token or some, where each text's begin and end).
+
+    It cuts before each space and line end, after each line end, and where a letter is followed by something else:
+    all are cuts of BYTE_PATTERN, whatever comes before or after. The strings share the texts' memory.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    texts = pa.array(texts, pa.string())
+    _, bounds, raw = texts.buffers()
+    bounds = np.frombuffer(bounds, np.int32)[: len(texts) + 1]
+    data = np.frombuffer(raw, np.uint8)[: bounds[-1]]
+    line_end, letter = data == 10, byte_letters()[data]
+    cut = letter[:-1] > letter[1:]
+    cut |= line_end[:-1]
+    cut = np.append(True, cut)
+    cut |= line_end
+    cut |= data == 32
+    cut[bounds[:-1]] = True
+    offsets = np.append(np.flatnonzero(cut), len(data)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), raw), np.searchsorted(offsets, bounds)
+
+
+def byte_letters():
+    """For each byte of a safe text whether it is (part of) a letter: beyond ASCII there are letters alone."""
+    import numpy as np
+
+    return np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
+
+
+def string_bytes(strings):
+    """(bytes of an Arrow array of strings, where each string begins and ends in them)."""
+    import numpy as np
+
+    _, bounds, raw = strings.buffers()
+    bounds = np.frombuffer(bounds, np.int32)[strings.offset : strings.offset + len(strings) + 1]
+    return np.frombuffer(raw or b"", np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
 class ByteIds(_Library):
-    """texts -> bytes of their ids (uint32, little-endian) by the tokenizers library."""
+    """texts -> bytes of their ids (uint32, little-endian) by the tokenizers library.
+
+    The distinct pieces of a slice are looked up at once among those known. The pre-tokens of new ones go to the
+    library's BPE model ``together`` at a time, with a byte between them that no merge and no safe text has, so that
+    nothing is merged across it. Of more than ``limit`` known pieces half stay: those that came again, the latest first.
+    """
+
+    AGAIN = 1 << 32
+
+    def __init__(self, path: str, limit: int = 300_000, together: int = 64):
+        import numpy as np
+        import pyarrow as pa
 
-    def __init__(self, path: str):
         super().__init__(path)
-        self.pieces = BytePieces(self.of_token, b"".join)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merged = set().union(*(m if isinstance(m, str) else "".join(m) for m in model["merges"]))
+        apart = [c for b, c in byte_alphabet().items() if b < 32 and b != 10 and c in model["vocab"] and c not in merged]
+        plain = not any(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix"))
+        self.apart = (apart[0], model["vocab"][apart[0]]) if apart and plain else None
+        self.codes = np.array([ord(self.alphabet.get(b, chr(b))) for b in range(256)], "<u4")
+        self.limit, self.together, self.turn = limit, together, 0
+        self.known, self.flat = pa.array([], pa.string()), np.zeros(0, "<u4")
+        self.begin = self.size = self.used = np.zeros(0, np.int64)
+
+    def _of_tokens(self, tokens):
+        """(ids of all pre-tokens, how many each has)."""
+        import numpy as np
+
+        if self.apart is None:
+            ids = [self.of_token(t) for t in tokens.to_pylist()]
+            return np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64)
+        symbol, end = self.apart
+        data, bounds = string_bytes(tokens)
+        text = np.full(len(data) + len(tokens), ord(symbol), "<u4")
+        text[np.arange(len(data)) + np.repeat(np.arange(len(tokens)), np.diff(bounds))] = self.codes[data]
+        text = text.tobytes().decode("utf-32-le")
+        ends = bounds[1:] + np.arange(1, len(tokens) + 1)
+        at = [0, *ends[self.together - 1 : -1 : self.together].tolist(), len(text)]
+        ids = array("I")
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            ids.extend([t.id for t in self.model.tokenize(text[a:b])])
+        ids = np.frombuffer(ids, "<u4")
+        return ids[ids != end], np.diff(np.flatnonzero(ids == end), prepend=-1) - 1
+
+    def _of_pieces(self, pieces):
+        """(ids, where each piece's begin among them, how many each has)."""
+        import numpy as np
+        import pyarrow as pa
+
+        data, bounds = string_bytes(pieces)
+        first = bounds[:-1]
+        one = byte_letters()[data[np.where(data[first] == 32, first + 1, first)]]  # a letter at its head: letters alone
+        found = [BYTE_PATTERN.findall(p) for p in pieces.filter(pa.array(~one)).to_pylist()]
+        flat, n = self._of_tokens(pa.concat_arrays([pieces.filter(pa.array(one)), pa.array([t for f in found for t in f], pa.string())]))
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ends = np.cumsum([np.count_nonzero(one), *map(len, found)])
+        begin, end = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        begin[one], end[one] = upto[: ends[0]], upto[1 : ends[0] + 1]
+        begin[~one], end[~one] = upto[ends[:-1]], upto[ends[1:]]
+        return flat, begin, end - begin
+
+    def _safe(self, texts: list[str]):
+        """(ids of all texts, where each text's begin and end)."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        pieces, bounds = token_cut(texts)
+        coded = pieces.dictionary_encode()
+        hit = pc.index_in(coded.dictionary, value_set=self.known)
+        new = hit.is_null().to_numpy(zero_copy_only=False)
+        fresh, old = coded.dictionary.filter(pa.array(new)), hit.drop_null().to_numpy()
+        place = np.empty(len(new), np.int64)
+        place[~new], place[new] = old, len(self.known) + np.arange(len(fresh))
+        self.turn += 1
+        self.used[old] = self.turn + self.AGAIN
+        if len(fresh):
+            flat, begin, size, upto = [self.flat], [self.begin], [self.size], len(self.flat)
+            for a in range(0, len(fresh), 1 << 16):
+                ids, first, n = self._of_pieces(fresh.slice(a, 1 << 16))
+                flat.append(ids)
+                begin.append(first + upto)
+                size.append(n)
+                upto += len(ids)
+            self.flat, self.begin, self.size = np.concatenate(flat), np.concatenate(begin), np.concatenate(size)
+            self.known = pa.concat_arrays([self.known, fresh])
+            self.used = np.concatenate([self.used, np.full(len(fresh), self.turn)])
+        ids, upto = ranges(self.flat, self.begin, self.size, place[coded.indices.to_numpy()])
+        if len(self.known) > self.limit:
+            self._keep(np.sort(np.argsort(-self.used, kind="stable")[: self.limit // 2]))
+        return ids, upto[bounds]
+
+    def _keep(self, at) -> None:
+        import pyarrow as pa
+
+        self.known, self.used = self.known.take(pa.array(at)), self.used[at]
+        self.flat, upto = ranges(self.flat, self.begin, self.size, at)
+        self.begin, self.size = upto[:-1], self.size[at]
 
     def many(self, texts: list[str | None]) -> list[bytes]:
-        return ids_of_many(texts, byte_safe, byte_cut, self.pieces, self.encode)
+        return ids_of_many(texts, byte_safe, self._safe, self.encode)
 
 
 class WordIds(_Library):
@@ -220,8 +363,12 @@ class WordIds(_Library):
             return self.words[word] + self.tokens[piece[-1]]
         return self.words[piece]
 
+    def _safe(self, texts: list[str]):
+        pieces, at, bounds = by_piece(texts, word_cut)
+        return gathered([self._piece(p) for p in pieces], at, bounds)
+
     def many(self, texts: list[str | None]) -> list[bytes]:
-        return ids_of_many(texts, word_safe, word_cut, self._piece, self.encode)
+        return ids_of_many(texts, word_safe, self._safe, self.encode)
 
 
 def byte_alphabet() -> dict[int, str]:
